@@ -1,0 +1,82 @@
+"""Cutting oversized texts at natural boundaries."""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Line feed, full-width sentence ends, and ASCII sentence ends before a space.
+BOUNDARY = re.compile("[\n。！？；]|[.!?;](?= )")
+
+
+def boundary_offsets(text: str) -> list[int]:
+    """Sorted offsets right after each boundary mark: the prefix sums of the lengths of the spans between marks."""
+    return [m.end() for m in BOUNDARY.finditer(text)]
+
+
+def longest_span(text: str, ends: list[int]) -> int:
+    """The longest stretch of characters without a mark."""
+    longest, start = 0, 0
+    for e in ends:
+        if e - 1 - start > longest:
+            longest = e - 1 - start
+        start = e
+    return max(longest, len(text) - start)
+
+
+def cut_points(text: str, limit: int = 512, overlap: int = 64) -> list[tuple[int, int, str]]:
+    """(start, end, cut) of each piece; cut is how its end was found: natural, forced or end.
+
+    The end is the last boundary within the limit, found by binary search in the sorted boundary array; without one, a hard cut.
+    The next piece steps back by the overlap from there. Where this would put the next boundary out of reach, it steps back
+    only so far that the boundary is the last character within the limit, so a hard cut is made only where there is no boundary.
+    """
+    if not 0 <= overlap < limit:
+        raise ValueError("overlap must be at least 0 and less than limit")
+    ends, n, out, start, floor = boundary_offsets(text), len(text), [], 0, 0
+    while True:
+        if n - start <= limit:
+            out.append((start, n, "end"))
+            return out
+        at = bisect_right(ends, start + limit) - 1
+        if at >= 0 and ends[at] > floor:
+            end, cut = ends[at], "natural"
+        else:
+            end, cut = start + limit, "forced"
+        out.append((start, end, cut))
+        floor = end
+        nxt = bisect_left(ends, end + 1)
+        reach = ends[nxt] if nxt < len(ends) else n
+        start = max(end - overlap, 0)
+        if reach - start > limit >= reach - end:
+            start = reach - limit
+
+
+def split_oversized(df: DataFrame, key: str = "chunk_id", text: str = "text", limit: int = 512, overlap: int = 64, only_oversized: bool = False) -> DataFrame:
+    """Pieces of at most ``limit`` characters, numbered from 0 in reading order.
+
+    Defined cases: rows with a null key or text give no piece, an empty text none; a text within the limit is one piece.
+    Repeated rows of a key are cut once (rows of one key with unlike texts: each text once). Characters are Unicode code points;
+    further columns are ignored. Pieces minus their overlaps concatenate to the text.
+
+    Returns key, piece_index, start_offset, end_offset, cut, is_forced (some stretch of more than ``limit`` characters has no boundary), piece.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null and length(t) > 0")
+    if only_oversized:
+        rows = rows.filter(F.length("t") > limit)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, t in zip(b["k"], b["t"]):
+                forced = longest_span(t, boundary_offsets(t)) > limit
+                out += [(k, i, s, e, c, forced, t[s:e]) for i, (s, e, c) in enumerate(cut_points(t, limit, overlap))]
+            yield pd.DataFrame(out, columns=[key, "piece_index", "start_offset", "end_offset", "cut", "is_forced", "piece"])
+
+    return rows.dropDuplicates(["k", "t"]).mapInPandas(run, f"`{key}` {kind}, piece_index int, start_offset int, end_offset int, cut string, is_forced boolean, piece string")
