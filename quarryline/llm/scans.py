@@ -25,6 +25,8 @@ WRITTEN_FOR = (
 )
 #: A form is misread if the form that it stands for is this many times as frequent in the same place, and at least LEAST times there.
 RATIO, LEAST = 20, 5
+#: A number-like token is a term if what it would stand for is at most this many times as frequent.
+TERM_RATIO = 200
 #: Corrections that fit a broadcast (each of some 40 bytes); more of them are joined.
 MAX_BROADCAST = 200_000
 MAX_NAMES = 100_000
@@ -39,6 +41,10 @@ BROKEN = re.compile(rf"([{LATIN}]+)[{HYPHENS}][^\S\n]*\n\s*([{LATIN}]+)")
 BROKEN_END = re.compile(rf"[{LATIN}][{HYPHENS}]\s*$")
 WIDE_CHARACTER = "⺀-鿿豈-﫿＀-￯。，、；：？！“”（）《》％"
 SOFT_BREAK = re.compile(rf"(?<=[{WIDE_CHARACTER}])\n(?=[^\n])|(?<=[^\n])\n(?=[{WIDE_CHARACTER}])|(?<=[0-9.,])\n(?=[0-9])|(?<=[0-9])\n(?=[.,%])")
+HAN = re.compile("[一-鿿]")
+#: A line's end beside a digit in Chinese text, whose lines are wrapped at any character.
+WRAPPED_NUMBER = re.compile(r"(?<=[A-Za-z0-9%.,)-])\n(?=[0-9])|(?<=[0-9])\n(?=[A-Za-z0-9%])|(?<=[A-Za-z])\n(?=[%.,])")
+BAR = re.compile(r"(?<=[0-9.,])\|(?=[0-9.,%％亿])|(?<![\w|\s])\|(?=[0-9]+[.,])")
 #: The number of a page, perhaps with the total (for the JVM).
 PAGE = r"(?i)^[^\p{L}\p{N}%]*(?:第\s*|page\s+|pg?\.\s*)?(\d{1,5})(?:\s*页)?(?:[\s，,]*(?:/|／|\||of|共)\s*(\d{1,5})(?:\s*页)?)?[^\p{L}\p{N}%]*$"
 
@@ -53,7 +59,11 @@ def join_lines(text: str, keep: set[str] | None = None) -> str:
     t = BROKEN.sub(close, t)
     t = re.sub(r"[^\S\n]+\n", "\n", t)
     t = SOFT_BREAK.sub("", t)
-    return re.sub(r"(?<=[^\n])\n(?=[^\n\s])", " ", t)
+    if len(HAN.findall(t)) * 5 >= len(t):
+        t = WRAPPED_NUMBER.sub("", t)
+    t = re.sub(r"(?<=[^\n])\n(?=[^\n\s])", " ", t)
+    # a bar within a number is a one; with more bars it separates cells
+    return BAR.sub("l", t) if t.count("|") <= 2 else t
 
 
 class Names:
@@ -80,7 +90,7 @@ class Names:
         """The text with digits as 0 and every character of a name as a placeholder; of the same length."""
         if self._find is None:
             self._build()
-        masked = list(re.sub(r"\d", "0", text))
+        masked = list(re.sub(r"\d", "0", NUMBER.sub(lambda m: "0" * len(m[0]), text)))
         for s, e in self._find(text):
             masked[s:e] = "" * (e - s)
         return "".join(masked)
@@ -153,13 +163,13 @@ def corrections(blocks: DataFrame, names: Names) -> DataFrame:
     counts = cut_lineage(_count_forms(blocks, names))
     chinese = counts.filter("key like 'C%'").groupBy("key").agg(F.max(F.struct("n", "form")).alias("top"), F.collect_list(F.struct("form", "n")).alias("all"))
     chinese = chinese.select("key", F.explode("all").alias("x"), "top").filter(f"top.n >= {LEAST} and x.form <> top.form and x.n * {RATIO} <= top.n").select("key", "x.form", F.col("top.form").alias("right"))
-    # a shape of one token alone is a term, such as the name of a product
-    terms = counts.filter("key like 'E%'").groupBy(F.expr("substring(key, 2)").alias("form")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).filter(f"most >= {LEAST} and 2 * most > all").select("form", F.lit(True).alias("term"))
+    # a shape that is mostly one token, and no rare one, is a term, such as the name of a product
+    terms = counts.filter("key like 'E%'").groupBy(F.expr("substring(key, 2)").alias("form")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).filter(f"most >= {LEAST} and 2 * most > all").select("form", "most")
     single = counts.filter(F.col("key").isin("W", "N"))
     variants = single.filter("key = 'W' or form rlike '[A-Za-z]'").select("key", "form").mapInPandas(_variants, "key string, form string, right string")
     right = single.select("key", F.col("form").alias("right"), F.col("n").alias("n_right"))
     better = variants.join(single, ["key", "form"]).join(right, ["key", "right"]).filter(f"n_right >= {LEAST} and n * {RATIO} <= n_right")
-    better = better.join(terms, "form", "left").filter("key = 'W' or term is null").groupBy("key", "form").agg(F.max_by("right", F.struct("n_right", "right")).alias("right"))
+    better = better.join(terms, "form", "left").filter(f"key = 'W' or most is null or most * {TERM_RATIO} < n_right").groupBy("key", "form").agg(F.max_by("right", F.struct("n_right", "right")).alias("right"))
     compounds = counts.filter("key = 'H'").select("form", "n").join(single.filter("key = 'W'").select(F.col("form").alias("closed"), F.col("n").alias("n_closed")), F.regexp_replace("form", "-", "") == F.col("closed"), "left")
     compounds = compounds.filter("n_closed is null or n > n_closed").select(F.lit("H").alias("key"), "form", F.col("form").alias("right"))
     return chinese.unionByName(better.select("key", "form", "right")).unionByName(compounds)
