@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions, the calculator, and checkpoints."""

@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators: functions of DataFrames."""

@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Extensions over streams."""
