@@ -26,7 +26,7 @@ COMMANDS = set(
 _CONSTRUCTS: tuple[tuple[str, str, str, int, bool], ...] = (
     ("html", "tag", r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>", 1, False),
     ("html", "comment", r"<!--.*?-->", 4, True),
-    ("html", "entity", r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,10});", 1, False),
+    ("html", "entity", r"&(?:amp;)*(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,10});", 1, False),
     ("html", "code", r"<(?P<c>pre|code|PRE|CODE)\b[^<>]*>.*?</(?P=c)>", 1, True),
     ("markdown", "heading", r"(?m:^ {0,3}#{1,6}[^\n]*$)", 1, False),
     ("markdown", "setext", r"(?m:^[^\n]*[^\n\s=-][^\n]*\n(?:={3,}|-{3,})[ \t]*$)", 0, False),

@@ -243,11 +243,11 @@ def defect(question: str, answer: str | None, model: LinearChain, may_refuse: bo
 
 def _pairs(samples: DataFrame) -> DataFrame:
     """(k, type, q, a, answered): id, type, question, and the last message if it answers."""
-    last = F.element_at("messages", -1)
+    last = F.try_element_at("messages", F.lit(-1))
     user = F.filter("messages", lambda m: m["role"] == "user")
     rows = samples.filter("sample_id is not null and messages is not null and size(messages) > 0")
     answered = (last["role"] == "assistant") & (F.coalesce(F.size(last["tool_calls"]), F.lit(0)) <= 0)
-    return rows.select(F.col("sample_id").alias("k"), F.col("question_type").alias("type"), F.element_at(user, F.when(F.size(user) > 0, F.lit(1)))["content"].alias("q"), F.when(F.coalesce(answered, F.lit(False)), last["content"]).alias("a")).distinct()
+    return rows.select(F.col("sample_id").alias("k"), F.col("question_type").alias("type"), F.try_element_at(user, F.lit(1))["content"].alias("q"), F.when(F.coalesce(answered, F.lit(False)), last["content"]).alias("a")).distinct()
 
 
 def broken_pairs(samples: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

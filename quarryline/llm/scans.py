@@ -33,7 +33,8 @@ MAX_NAMES = 100_000
 
 GROUP = {c: g[0] for g in CHINESE for c in g}
 _LEVELS = "".join(DIGIT_OF)
-NUMBER = re.compile(rf"(?<![A-Za-z0-9])(?:(?=[0-9.,]*[{_LEVELS}])(?=[{_LEVELS}.,]*[0-9])|(?=[{_LEVELS}.]+[%％亿]))[0-9{_LEVELS}](?:[0-9{_LEVELS}]|[.,](?=[0-9{_LEVELS}]))*(?![A-Za-z0-9])")
+#: A token of digits and letters that resemble digits; a letter, a digit and the same letter again (as in terms of trade) is none.
+NUMBER = re.compile(rf"(?<![A-Za-z0-9])(?!([A-Z])\d\1(?![A-Za-z0-9]))(?:(?=[0-9.,]*[{_LEVELS}])(?=[{_LEVELS}.,]*[0-9])|(?=[{_LEVELS}.]+[%％亿]))[0-9{_LEVELS}](?:[0-9{_LEVELS}]|[.,](?=[0-9{_LEVELS}]))*(?![A-Za-z0-9])")
 PURE = re.compile(r"(?<![A-Za-z0-9])[0-9]+(?:[.,][0-9]+)*(?![A-Za-z0-9])")
 WORD = re.compile(r"(?<![A-Za-z0-9À-ÿ&#\\])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{2,24}(?![A-Za-z0-9À-ÿ])")
 COMPOUND = re.compile(rf"(?<![{LATIN}])[{LATIN}]+-[{LATIN}]+(?![{LATIN}])")
