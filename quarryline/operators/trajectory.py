@@ -61,7 +61,7 @@ def steps_of(samples: DataFrame, key: str = "sample_id", messages: str = "messag
     """(key, step_no, tool, query, observation, thought): one row a call, in order, with the tool message that answers it; several calls of a message are steps of their own."""
     unique = samples.filter(F.col(key).isNotNull() & F.col(messages).isNotNull()).dropDuplicates([key])
     calls = F.flatten(F.transform(F.col(messages), lambda m: F.transform(F.coalesce(m["tool_calls"], F.array().cast("array<struct<id:string,call_type:string,func:struct<name:string,arguments:string>>>")), lambda c: F.struct(c["id"].alias("id"), c["func"]["name"].alias("tool"), c["func"]["arguments"].alias("arguments"), m["content"].alias("thought")))))
-    answers = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.filter(F.col(messages), lambda m: m["role"] == "tool"), lambda m: F.coalesce(m["tool_call_id"], F.lit("")))), lambda i: F.struct(i.alias("k"), F.element_at(F.filter(F.col(messages), lambda m: (m["role"] == "tool") & (F.coalesce(m["tool_call_id"], F.lit("")) == i)), 1)["content"].alias("v"))))
+    answers = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.filter(F.col(messages), lambda m: m["role"] == "tool"), lambda m: F.coalesce(m["tool_call_id"], F.lit("")))), lambda i: F.struct(i.alias("k"), F.try_element_at(F.filter(F.col(messages), lambda m: (m["role"] == "tool") & (F.coalesce(m["tool_call_id"], F.lit("")) == i)), F.lit(1))["content"].alias("v"))))
     rows = unique.select(key, answers.alias("_a"), F.posexplode(calls).alias("_i", "_c"))
     return rows.select(key, (F.col("_i") + 1).alias("step_no"), F.col("_c.tool").alias("tool"), query_argument(F.col("_c.arguments")).alias("query"), F.try_element_at("_a", F.coalesce("_c.id", F.lit(""))).alias("observation"), F.col("_c.thought").alias("thought"))
 
@@ -84,7 +84,7 @@ def render_chat(messages: Column, system: str = DEFAULT_SYSTEM) -> Column:
 
     # positions of try_element_at start at 1, so ``i`` is the message before
     turns = F.array_join(F.transform(messages, lambda m, i: turn(m, i)), "")
-    return F.concat(F.when(F.coalesce(messages[0]["role"] != "system", F.lit(True)), F.lit(f"<|im_start|>system\n{system}<|im_end|>\n")).otherwise(F.lit("")), turns)
+    return F.concat(F.when(F.coalesce(F.try_element_at(messages, F.lit(1))["role"] != "system", F.lit(True)), F.lit(f"<|im_start|>system\n{system}<|im_end|>\n")).otherwise(F.lit("")), turns)
 
 
 def assistant_spans(rendered: Column) -> Column:
@@ -109,7 +109,7 @@ def validate(samples: DataFrame, tools: Sequence[str], most_steps: int = 6, grou
     Checks: a question, an answer, known tools, an observation for each step, one to ``most_steps`` steps, at least the share ``grounded`` of the answer's numbers in
     observations (not for questions to be rejected), and operands above 10 of calculations in earlier observations.
     """
-    one = samples.filter("sample_id is not null").dropDuplicates(["sample_id"]).select("sample_id", "question", "question_type", F.element_at("messages", F.when(F.size("messages") > 0, F.lit(-1)))["content"].alias("answer"))
+    one = samples.filter("sample_id is not null").dropDuplicates(["sample_id"]).select("sample_id", "question", "question_type", F.try_element_at("messages", F.lit(-1))["content"].alias("answer"))
     grouped = steps_of(samples).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("step_no", "tool", "query", "observation"))).alias("steps"))
     rows = one.join(grouped, "sample_id", "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<struct<step_no:int,tool:string,query:string,observation:string>>")))
     seen = numbers_in(F.array_join(F.transform("steps", lambda s: F.coalesce(s["observation"], F.lit(""))), " "))
