@@ -88,14 +88,14 @@ def render_chat(messages: Column, system: str = DEFAULT_SYSTEM) -> Column:
 
 
 def assistant_spans(rendered: Column) -> Column:
-    """array<struct(start, end)> of what the assistant generated: after the role's line up to and with the end mark; 0-based, end exclusive."""
+    """array<struct(start, end)> of what the assistant generated: after the role (and its line feed, in a turn without calls) up to and with the end mark; 0-based, end exclusive."""
     parts = F.split(rendered, r"<\|im_start\|>")
     sized = F.transform(parts, lambda p, i: F.struct(p.alias("p"), F.when(i == 0, F.length(p)).otherwise(F.length(p) + 12).alias("n")))
     state = "struct<at:int,out:array<struct<start:int,end:int>>>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")).cast(state)
 
     def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + 12 + 9 + F.when(F.substr(x["p"], F.lit(10), F.lit(13)) == "\n<tool_call>\n", F.lit(0)).otherwise(F.lit(1))
+        begin = a["at"] + 12 + 9 + F.when(F.contains(x["p"], F.lit("\n<tool_call>\n")), F.lit(0)).otherwise(F.lit(1))
         end = a["at"] + 12 + F.instr(x["p"], "<|im_end|>") + 9
         own = F.startswith(x["p"], F.lit("assistant")) & (F.instr(x["p"], "<|im_end|>") > 0)
         return F.struct((a["at"] + x["n"]).alias("at"), F.when(own, F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end")).cast("struct<start:int,end:int>")))).otherwise(a["out"]).alias("out")).cast(state)

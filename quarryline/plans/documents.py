@@ -129,6 +129,9 @@ SQL = {
     + "], lambda w: contains(t, w))) GROUP BY 1) SELECT block_id FROM b LEFT JOIN c USING (pdf_file) WHERE cut IS NULL OR block_idx < cut",
     "document_sections": _B
     + ", x AS (SELECT *, coalesce(text_level = 1, false) AS head FROM b WHERE block_type = 'text' AND t <> ''), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY pdf_file ORDER BY block_idx, block_id ROWS UNBOUNDED PRECEDING) AS grp FROM x), a AS (SELECT pdf_file, grp, max(t) FILTER (head) AS title, arg_min(page_idx, block_idx) FILTER (NOT head) AS page_idx, string_agg(t, chr(10) || chr(10) ORDER BY block_idx, block_id) FILTER (NOT head) AS text, count(*) FILTER (NOT head) AS n FROM g GROUP BY 1, 2) SELECT pdf_file, row_number() OVER (PARTITION BY pdf_file ORDER BY grp) - 1 AS section_no, coalesce(title, '') AS title, page_idx, text FROM a WHERE n > 0",
+    "section_windows": _B
+    + r", x AS (SELECT *, coalesce(text_level = 1, false) AS head FROM b WHERE block_type = 'text' AND t <> ''), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY pdf_file ORDER BY block_idx, block_id ROWS UNBOUNDED PRECEDING) AS grp FROM x), a AS (SELECT pdf_file, grp, string_agg(t, chr(10) || chr(10) ORDER BY block_idx, block_id) FILTER (NOT head) AS text FROM g GROUP BY 1, 2 HAVING count(*) FILTER (NOT head) > 0), s AS (SELECT pdf_file, row_number() OVER (PARTITION BY pdf_file ORDER BY grp) - 1 AS section_no, text FROM a), w AS (SELECT pdf_file, section_no, o, regexp_replace(substr(text, o + 1, 300), '^[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+|[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+$', '', 'g') AS chunk FROM s, unnest(range(0, length(text), 240)) u(o) WHERE length(text) > 300) SELECT pdf_file, section_no, row_number() OVER (PARTITION BY pdf_file, section_no ORDER BY o) - 1 AS chunk_index, chunk FROM w WHERE length(chunk) >= 50 UNION ALL SELECT pdf_file, section_no, 0, text FROM s WHERE length(text) BETWEEN 20 AND 300",
+    "repaired_digits": r"WITH t AS (SELECT DISTINCT block_id, text, regexp_replace(regexp_replace(text, '(\d)[oO](\d)', '\1' || '0' || '\2', 'g'), '(\d)[oO](\d)', '\1' || '0' || '\2', 'g') AS a FROM content_list WHERE text IS NOT NULL AND pdf_file IS NOT NULL AND block_idx IS NOT NULL), u AS (SELECT *, regexp_replace(regexp_replace(a, '(\d)[lI](\d)', '\1' || '1' || '\2', 'g'), '(\d)[lI](\d)', '\1' || '1' || '\2', 'g') AS fixed FROM t) SELECT block_id, fixed FROM u WHERE fixed <> text",
     "section_tables": _B
     + r", h AS (SELECT *, last_value(CASE WHEN block_type = 'text' AND text_level = 1 AND length(t) >= 3 AND NOT regexp_matches(t, '^(分析师|研究员|联系人|证券分析师|首席分析师)\s*[:：]\s*\S{2,6}$|^(强烈推荐|买入|增持|中性|回避|卖出)|^\d{4}\s*年\s*\d{1,2}\s*月') THEN t END IGNORE NULLS) OVER (PARTITION BY pdf_file ORDER BY block_idx, block_id ROWS UNBOUNDED PRECEDING) AS section FROM b) SELECT pdf_file, row_number() OVER (PARTITION BY pdf_file ORDER BY block_idx, block_id) AS table_no, block_idx, coalesce(section, '') AS section FROM h WHERE block_type = 'table' AND table_body <> ''",
     "noise_lines": r"""

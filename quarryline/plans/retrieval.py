@@ -182,6 +182,23 @@ SQL = {
     "expanded_results": _D + "SELECT query_id, document AS parent_id, max(score) AS score, min(position) AS first_position, any_value(p.report_title) AS parent_text FROM z LEFT JOIN pdf_map p ON document = p.pdf_file GROUP BY 1, 2",
     "year_boosted": "WITH " + _C + ", h AS (SELECT DISTINCT query_id, query_text, chunk_id FROM search_hits WHERE query_id IS NOT NULL) SELECT query_id, chunk_id, CASE WHEN list_contains(regexp_extract_all(query_text, '20\\d\\d'), year(day)::VARCHAR) THEN 0.01 ELSE 0 END AS boost, round(coalesce(0.4 * exp(-0.693 * greatest(date_diff('day', day, DATE '2026-06-30'), 0) / 365.0), 0), 6) AS bonus FROM h JOIN c USING (chunk_id)",
     "interleaved": _S + ", " + _C + ", m AS (SELECT query_id, chunk_id, retriever, rank, text[1:100] AS head, (retriever = 'bm25')::INT AS l FROM k JOIN c USING (chunk_id) WHERE retriever IN ('dense', 'bm25')), o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, head ORDER BY rank, l) = 1) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, l) AS position, chunk_id, retriever FROM o QUALIFY position <= 10",
+    "tool_steps": """
+WITH s AS (SELECT sample_id, any_value(messages) AS ms FROM sft_data WHERE sample_id IS NOT NULL AND messages IS NOT NULL GROUP BY 1),
+m AS (SELECT sample_id, i, ms[i] AS x FROM s, unnest(range(1, len(ms) + 1)) u(i)),
+c AS (SELECT sample_id, i, j, x.tool_calls[j] AS c FROM m, unnest(range(1, len(x.tool_calls) + 1)) v(j)),
+t AS (SELECT sample_id, coalesce(x.tool_call_id, '') AS id, arg_min(x.content, i) AS observation FROM m WHERE x.role = 'tool' GROUP BY 1, 2)
+SELECT c.sample_id, row_number() OVER (PARTITION BY c.sample_id ORDER BY i, j) AS step_no, c.c.func.name AS tool, coalesce(json_extract_string(c.c.func.arguments, '$.query'), json_extract_string(c.c.func.arguments, '$.expression'), c.c.func.arguments) AS query, observation
+FROM c LEFT JOIN t ON t.sample_id = c.sample_id AND t.id = coalesce(c.c.id, '')""",
+    "rendered_chats": """
+WITH s AS (SELECT sample_id, any_value(messages) AS ms FROM sft_data WHERE sample_id IS NOT NULL AND messages IS NOT NULL GROUP BY 1),
+m AS (SELECT sample_id, i, len(ms) AS n, ms[i] AS x, ms[i - 1].role AS before, ms[i + 1].role AS after FROM s, unnest(range(1, len(ms) + 1)) u(i)),
+c AS (SELECT sample_id, i, string_agg(chr(10) || '<tool_call>' || chr(10) || '{"name": "' || x.tool_calls[j].func.name || '", "arguments": ' || x.tool_calls[j].func.arguments || '}' || chr(10) || '</tool_call>', '' ORDER BY j) AS calls FROM m, unnest(range(1, len(x.tool_calls) + 1)) v(j) GROUP BY 1, 2),
+t AS (SELECT m.sample_id, m.i, x.role = 'assistant' AS own, CASE WHEN calls IS NULL THEN length(coalesce(x.content, '')) ELSE length(calls) + CASE WHEN coalesce(x.content, '') <> '' THEN 1 + length(x.content) ELSE 0 END END + 10 AS made,
+  CASE WHEN x.role = 'tool' THEN CASE WHEN m.i = 1 OR before <> 'tool' THEN '<|im_start|>user' ELSE '' END || chr(10) || '<tool_response>' || chr(10) || coalesce(x.content, '') || chr(10) || '</tool_response>' || CASE WHEN m.i = n OR after <> 'tool' THEN '<|im_end|>' || chr(10) ELSE '' END
+    WHEN calls IS NOT NULL THEN '<|im_start|>assistant' || CASE WHEN coalesce(x.content, '') <> '' THEN chr(10) || x.content ELSE '' END || calls || '<|im_end|>' || chr(10)
+    ELSE '<|im_start|>' || x.role || chr(10) || coalesce(x.content, '') || '<|im_end|>' || chr(10) END AS turn, x.role FROM m LEFT JOIN c USING (sample_id, i)),
+r AS (SELECT sample_id, CASE WHEN arg_min(role, i) <> 'system' THEN '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) ELSE '' END || string_agg(turn, '' ORDER BY i) AS chat, count(*) FILTER (own) AS n_spans, coalesce(sum(made) FILTER (own), 0) AS generated FROM t GROUP BY 1)
+SELECT sample_id, md5(chat) AS chat_hash, length(chat) AS n_chars, n_spans, generated FROM r""",
     "tool_usage": "SELECT question_type, tool, count(*) AS n_uses FROM (SELECT question_type, unnest(tools_used) AS tool FROM (SELECT DISTINCT sample_id, question_type, tools_used FROM sft_data WHERE sample_id IS NOT NULL)) GROUP BY 1, 2",
     "question_types": "SELECT question_type, count(*) AS n_samples FROM (SELECT DISTINCT sample_id, question_type FROM sft_data WHERE sample_id IS NOT NULL) GROUP BY 1",
     "event_properties": "SELECT event_type, sum((props->>'$.k')::BIGINT) AS sum_k, count(*) AS n_events FROM events GROUP BY 1",
