@@ -84,3 +84,13 @@ def interleave(a: DataFrame, b: DataFrame, query: str, rank: str, text: str, pre
 def corpus_statistics(chunks: DataFrame, group: str = "source_type") -> DataFrame:
     """Rows, distinct codes (without empty ones) and mean text length of each group."""
     return chunks.groupBy(group).agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct(F.when(F.col("stock_code") != "", F.col("stock_code"))).alias("n_stocks"), F.round(F.avg(F.length("text")), 4).alias("mean_length"))
+
+
+def alias_table(taxonomy: DataFrame, major: str, sub: str, extras: dict[str, str] | None = None) -> DataFrame:
+    """(alias, target): every major and sub class as an alias of its major, subs also without a trailing numeral; a sub overrides a major of the same name, extras never override."""
+    spark = taxonomy.sparkSession
+    rows = taxonomy.select(F.col(major).alias("target"), F.col(major).alias("alias"), F.lit(1).alias("p")).unionByName(taxonomy.select(F.col(major).alias("target"), F.col(sub).alias("alias"), F.lit(0).alias("p")))
+    rows = rows.unionByName(taxonomy.select(F.col(major).alias("target"), F.regexp_replace(sub, "[ⅠⅡⅢ]$", "").alias("alias"), F.lit(0).alias("p")))
+    if extras:
+        rows = rows.unionByName(spark.createDataFrame([(t, a, 2) for a, t in extras.items()], "target string, alias string, p int"))
+    return rows.filter("alias is not null and alias <> ''").groupBy("alias").agg(F.min(F.struct("p", "target"))["target"].alias("target"))

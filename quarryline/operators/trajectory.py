@@ -171,3 +171,54 @@ def reuses_result(answer: Column, results: Column) -> Column:
     """Whether a number of at least three characters of a result stands in the answer, not within a longer number."""
     found = F.flatten(F.transform(results, lambda r: F.regexp_extract_all(r, F.lit(r"([\d.]+)"), F.lit(1))))
     return F.exists(found, lambda n: (F.length(n) >= 3) & F.coalesce(F.regexp(answer, F.concat(F.lit(r"(?<!\d)"), F.replace(n, F.lit("."), F.lit("\\.")), F.lit(r"(?!\d)"))), F.lit(False)))
+
+
+# Words and forms that call for arithmetic, and words of declining.
+CALCULATION_WORDS = ("差值", "差距", "差多少", "偏离", "拖累", "高出", "低出", "加权", "平均", "复合增长", "CAGR")
+MENTAL_FORMS = (r"[\d.]+%?\s*[×*]\s*[\d.]+%?\s*[×*]\s*[\d.]+", r"1\s*/\s*[\d.]+%?\s*[=≈]\s*[\d.]+", r"[\d.]+\s*[-−]\s*[\d.]+\s*[=≈]\s*[\d.]+", r"[\d.]+\s*[/÷]\s*[\d.]+\s*[=≈]\s*[\d.]+", r"[\d.]+\s*[+]\s*[\d.]+\s*[=≈]\s*[\d.]+")
+DECLINING = ("无法回答", "抱歉", "无法提供", "超出范围", "不在数据库", "没有相关数据", "无法分析", "不具备", "超出能力", "不在覆盖范围")
+
+
+def any_word(c: Column, words: Sequence[str]) -> Column:
+    """Whether a text contains one of the words; false for null."""
+    return F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w)), F.lit(False))
+
+
+def shows_arithmetic(answer: Column) -> Column:
+    """Whether a text carries out a calculation by itself."""
+    found = F.lit(False)
+    for form in MENTAL_FORMS:
+        found = found | F.coalesce(answer.rlike(form), F.lit(False))
+    return found
+
+
+def needs_calculation(question: Column, answer: Column) -> Column:
+    """Whether a question asks for arithmetic, or its answer shows some."""
+    return any_word(question, CALCULATION_WORDS) | shows_arithmetic(answer)
+
+
+def calculation_score(needed: Column, answer: Column, expressions: Column, results: Column) -> Column:
+    """From 0 to 1: calculations that were needed, worked and were used score most; needed ones that are missing or failed score 0; a half where none was needed nor made."""
+    worked = F.filter(results, lambda r: F.coalesce((strip_u(r) != "") & ~r.rlike(r"^\[?计算(错误|失败)"), F.lit(False)))
+    used = F.size(expressions) > 0
+    formed = F.exists(expressions, lambda e: F.coalesce(e.rlike(r"\d+\.?\d*\s*[-+*/×÷]\s*\d+"), F.lit(False)))
+    again = F.coalesce(reuses_result(answer, worked), F.lit(False))
+    quality = 0.5 + F.when(formed, 0.25).otherwise(0.0) + F.when(again, 0.25).otherwise(0.0)
+    return F.when(needed & used, F.when(F.size(worked) > 0, quality).otherwise(0.0)).when(needed, 0.0).when(used, F.when(F.size(worked) == 0, 0.0).when(again, 0.5).otherwise(0.45)).otherwise(0.5)
+
+
+def declining_score(answer: Column, n_steps: Column) -> Column:
+    """For questions to decline: 1 for a refusal with at most one call, a quarter less for each further, at least a quarter; 0 without a refusal."""
+    return F.when(any_word(answer, DECLINING), F.when(n_steps <= 1, 1.0).when(n_steps == 2, 0.75).when(n_steps == 3, 0.5).otherwise(0.25)).otherwise(0.0)
+
+
+def passes_gate(issues: DataFrame, key: str, least: float = 4.0, full: float = 5.0) -> DataFrame:
+    """(key, score, passes) from rows of (key, penalty, critical): the full score less the penalties, passing at ``least`` if no issue is critical."""
+    own = issues.groupBy(key).agg(F.round(full - F.coalesce(F.sum("penalty"), F.lit(0.0)), 6).alias("score"), F.coalesce(F.max(F.col("critical").cast("int")), F.lit(0)).alias("_c"))
+    return own.select(key, "score", ((F.col("score") >= least) & (F.col("_c") == 0)).alias("passes"))
+
+
+def total_score(parts: Sequence[tuple[float, Column]], penalty: Column, overlong: Column) -> Column:
+    """Weighted sum of scores plus the penalty, at least 0, then the overlong penalty (which may make it negative)."""
+    base = sum((w * F.coalesce(c, F.lit(0.0)) for w, c in parts), F.lit(0.0))
+    return F.greatest(base + penalty, F.lit(0.0)) + overlong

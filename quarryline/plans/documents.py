@@ -81,6 +81,11 @@ def markdown_tables(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("block_id", chunking.markdown_table("table_body").alias("markdown"))
 
 
+def html_table_facts(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of HTML tables as pairs of header and value."""
+    return chunking.table_facts(read_table(spark, root, "content_list").filter("table_body like '%<t%'"), "block_id", "table_body")
+
+
 def table_packs(spark: SparkSession, root: str) -> DataFrame:
     """Markdown tables in packs of rows under their header."""
     return chunking.packed_rows(markdown_tables(spark, root), ["block_id"], "markdown", 200)
@@ -111,7 +116,7 @@ def text_paragraphs(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        runner_free_blocks, body_blocks, before_disclaimer, without_contents, without_authors, merged_texts, captioned_blocks, cleaned_blocks, repaired_digits, document_sections, section_windows, section_tables, markdown_tables, table_packs, table_runs,
+        runner_free_blocks, body_blocks, before_disclaimer, without_contents, without_authors, merged_texts, captioned_blocks, cleaned_blocks, repaired_digits, document_sections, section_windows, section_tables, markdown_tables, html_table_facts, table_packs, table_runs,
         residue_free_texts, noise_lines, text_paragraphs,
     )
 }

@@ -80,6 +80,11 @@ def title_aliases(spark: SparkSession, root: str) -> DataFrame:
     return named.filter(F.size("matches") > 0).select("report_id", F.array_join("matches", "/").alias("industries"))
 
 
+def industry_aliases(spark: SparkSession, root: str) -> DataFrame:
+    """Aliases of the registered industries."""
+    return relational.alias_table(read_table(spark, root, "stocks").select("industry_major", "industry_sub").distinct(), "industry_major", "industry_sub", {"软件": "信息", "药": "医药"})
+
+
 def report_chunks(spark: SparkSession, root: str) -> DataFrame:
     """Metadata of each report as text, with its id."""
     return facts.report_text(read_table(spark, root, "all_reports"))
@@ -178,7 +183,7 @@ def calculations(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        newest_reports, reports_since, report_files, stock_industry, major_industry, unreported_stocks, merged_crawls, latest_ratings, rating_counts, title_aliases, report_chunks, report_forecasts, chunk_statistics, chunk_methods, index_rows,
+        newest_reports, reports_since, report_files, stock_industry, major_industry, unreported_stocks, merged_crawls, latest_ratings, rating_counts, title_aliases, industry_aliases, report_chunks, report_forecasts, chunk_statistics, chunk_methods, index_rows,
         indicator_facts, indicators_with_prior, latest_annual, peer_comparison, return_checks, order_amounts, clean_names, result_lines, fixed_window_chunks, sliding_window_chunks, calculations,
     )
 }
@@ -207,6 +212,7 @@ SQL = {
     + ", a AS (SELECT * FROM (VALUES "
     + ", ".join(f"('{a}', '{t}', {i})" for i, (a, t) in enumerate(sorted(ALIASES.items(), key=lambda x: -len(x[0]))))
     + ") v(alias, target, pos)), m AS (SELECT report_id, target, min(pos) AS pos FROM r JOIN a ON contains(report_title, alias) GROUP BY 1, 2) SELECT report_id, string_agg(target, '/' ORDER BY pos) AS industries FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS n FROM m) WHERE n <= 2 GROUP BY 1",
+    "industry_aliases": "WITH t AS (SELECT DISTINCT industry_major AS m, industry_sub AS s FROM stocks), a AS (SELECT m AS target, m AS alias, 1 AS p FROM t UNION ALL SELECT m, s, 0 FROM t UNION ALL SELECT m, regexp_replace(s, '[ⅠⅡⅢ]$', ''), 0 FROM t UNION ALL VALUES ('信息', '软件', 2), ('医药', '药', 2)) SELECT alias, min({'p': p, 't': target}).t AS target FROM a WHERE alias <> '' GROUP BY 1",
     "report_chunks": r"""
 WITH d AS (SELECT DISTINCT report_id, stock_code, stock_name, report_title, institution, rating, report_date, eps_2025, pe_2025, eps_2026, pe_2026, eps_2027, pe_2027 FROM all_reports WHERE report_id IS NOT NULL),
 e AS (SELECT *, coalesce(strftime(TRY_CAST(replace(report_date[1:10], '/', '-') AS DATE), '%Y%m%d'), '') AS dk,

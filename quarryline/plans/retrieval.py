@@ -133,6 +133,22 @@ def step_scores(spark: SparkSession, root: str) -> DataFrame:
     return grouped.select("sample_id", F.coalesce("query_score", F.lit(0.0)).alias("query_score"), T.call_penalty(F.col("steps"), TOOLS).alias("penalty"), last.alias("last_overlap"))
 
 
+def sample_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Scores of each trajectory: calculations, declining, penalties and length, and their total."""
+    samples = read_table(spark, root, "sft_data").filter("sample_id is not null").dropDuplicates(["sample_id"])
+    one = samples.select("sample_id", "question", "question_type", F.try_element_at("messages", F.lit(-1))["content"].alias("answer"))
+    grouped = T.steps_of(samples).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("step_no", "tool", "query", "observation"))).alias("steps"))
+    steps = F.coalesce("steps", F.array().cast("array<struct<step_no:int,tool:string,query:string,observation:string>>"))
+    rows = one.join(grouped, "sample_id", "left").withColumn("steps", steps)
+    made = F.filter("steps", lambda s: s["tool"] == "calculate")
+    calculation = T.calculation_score(T.needs_calculation(F.col("question"), F.col("answer")), F.col("answer"), F.transform(made, lambda s: s["query"]), F.transform(made, lambda s: s["observation"]))
+    search = F.filter("steps", lambda s: s["tool"] != "calculate")
+    queries = F.when(F.size(search) > 0, F.aggregate(F.transform(search, lambda s: T.length_score(s["query"])), F.lit(0.0), lambda a, x: a + x) / F.size(search)).otherwise(0.0)
+    total = T.total_score([(0.5, queries), (0.5, calculation)], T.call_penalty(F.col("steps"), TOOLS), T.overlong_penalty(F.col("answer")))
+    declined = T.declining_score(F.col("answer"), F.size("steps"))
+    return rows.select("sample_id", F.round(calculation, 6).alias("calculation"), F.round(queries, 6).alias("queries"), F.round(F.when(F.col("question_type") == "reject", declined).otherwise(total), 6).alias("score"))
+
+
 def event_properties(spark: SparkSession, root: str) -> DataFrame:
     """A number out of the JSON of each event, summed by type."""
     return read_table(spark, root, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("sum_k"), F.count(F.lit(1)).alias("n_events"))
@@ -145,7 +161,7 @@ def event_rollup(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (cosine_top, bm25_top, rank_fusion, weighted_score_fusion, document_fusion, packed_results, expanded_results, year_boosted, interleaved, tool_steps, tool_usage, question_types, rendered_chats, parsed_calls, validated_samples, step_scores, event_properties, event_rollup)
+    for f in (cosine_top, bm25_top, rank_fusion, weighted_score_fusion, document_fusion, packed_results, expanded_results, year_boosted, interleaved, tool_steps, tool_usage, question_types, rendered_chats, parsed_calls, validated_samples, step_scores, sample_scores, event_properties, event_rollup)
 }
 
 _S = """
