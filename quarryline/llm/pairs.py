@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.partitions import spread
 from quarryline.llm.crf import LinearChain
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -247,7 +248,7 @@ def _pairs(samples: DataFrame) -> DataFrame:
     user = F.filter("messages", lambda m: m["role"] == "user")
     rows = samples.filter("sample_id is not null and messages is not null and size(messages) > 0")
     answered = (last["role"] == "assistant") & (F.coalesce(F.size(last["tool_calls"]), F.lit(0)) <= 0)
-    return rows.select(F.col("sample_id").alias("k"), F.col("question_type").alias("type"), F.try_element_at(user, F.lit(1))["content"].alias("q"), F.when(F.coalesce(answered, F.lit(False)), last["content"]).alias("a")).distinct()
+    return rows.select(F.col("sample_id").alias("k"), F.col("question_type").alias("type"), F.try_element_at(user, F.lit(1))["content"].alias("q"), F.when(F.coalesce(answered, F.lit(False)), last["content"]).alias("a"))
 
 
 def broken_pairs(samples: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -259,12 +260,13 @@ def broken_pairs(samples: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFram
     Defined cases: null ids and null or empty message lists give no row; without a user message the question is empty; a null, blank or missing answer is empty.
     Repeated rows give one result. Further columns are ignored; an empty table gives no rows.
     """
-    rows = _pairs(samples)
+    rows = spread(_pairs(samples), "k").distinct()
     drawn = rows.filter("q is not null and length(a) > 15").orderBy(F.xxhash64("k"), "k").limit(sample_rows).select("q", "a").collect()
     model = rows.sparkSession.sparkContext.broadcast(train([(r["q"], r["a"]) for r in drawn]))
     ending = F.expr("right(q, 6)")
     kinds = rows.filter("type is not null and q is not null").groupBy(ending.alias("ending")).agg((F.avg((F.col("type") == "reject").cast("int")) > 0.5).alias("rejected")).filter("rejected")
-    typed = rows.withColumn("ending", F.when(F.col("type").isNull(), ending)).join(kinds, "ending", "left")
+    # rows with a type join with nothing, each under a key of its own
+    typed = rows.withColumn("ending", F.when(F.col("type").isNull(), ending).otherwise(F.concat(F.lit("\x01"), F.col("k").cast("string")))).join(kinds, "ending", "left")
     typed = typed.select("k", "q", "a", (F.coalesce(F.col("type") == "reject", F.lit(False)) | F.coalesce("rejected", F.lit(False))).alias("may_refuse"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
