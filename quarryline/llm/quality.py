@@ -41,25 +41,42 @@ MAX_COMMON = 20_000
 NAMES = tuple(s[0] for s in STATS)
 LEAST = np.array([s[2] for s in STATS])
 
-HAN = re.compile("[一-鿿㐀-䶿]")
-WORD = re.compile(r"[一-鿿㐀-䶿]|[^\W\d_]+(?:['’-][^\W\d_]+)*")
-LATIN_WORD = re.compile(r"[A-Za-zÀ-ÿ]+(?:['’-][A-Za-zÀ-ÿ]+)*")
+HAN_RUN = re.compile("[一-鿿㐀-䶿]+")
+WORD = re.compile(r"[^\W\d_一-鿿㐀-䶿]+(?:['’-][^\W\d_一-鿿㐀-䶿]+)*")
+SPACE = re.compile(r"\s+")
+LATIN_RUN = re.compile("[A-Za-zÀ-ÿ]+")
 SENTENCE_END = re.compile(r"[。！？!?…;；.:：][”’」』）)\"'\]]*$")
 STOP = re.compile(r"[。！？；]|[.!?;](?=\s|$)")
 ENUMERATED = re.compile(r"^\s*(?:[（(\[【]?(?:\d{1,3}(?:\.\d{1,3})*|[A-Za-z]|[ivxIVX]{1,5}|[一二三四五六七八九十百甲乙丙丁]{1,4}|[①-⑳])(?:[）)\]】.、．:：]|\s*[-–]\s|,|\.?\s{1,4}(?=\S))|第[一二三四五六七八九十百\d]+[条章节项款]|[-*•·●▪◆■□◇◦‣–—+>☆★√✓→※]\s*|\d{1,2}月\d{1,2}日)\s*\S")
 NUMBER_CELL = re.compile(r"^[\s$¥￥€(（-]*[+\-−]?\d[\d,.]*\s*(?:%|％|[A-Za-z亿万元倍x]{0,4})?[)）]?$|^(?:-+|—+|–|n/?a|N/?A|nan|null|/|\\|:?-{2,}:?|\s*)$")
-CODE = re.compile(r"0x[0-9A-Fa-f]+|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9A-F]{2}|&#\d+;|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{8,}\b|\b[0-9a-fA-F]{2}(?: [0-9a-fA-F]{2}){3,}\b|[A-Za-z0-9+/]{40,}={0,2}|\b(?:ret|ERR|WARN|DEBUG)\b")
+#: Encoded text within a token, and dumps of bytes.
+CODE = re.compile(r"0x[0-9A-Fa-f]+|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9A-F]{2}|&#\d+;|(?<![A-Za-z0-9])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{8,}(?![A-Za-z0-9])|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}|\[\d\d:\d\d:\d\d\]|ret=-?\d+;*")
+HEX_DUMP = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{2}(?: [0-9a-fA-F]{2}){3,}(?![0-9A-Za-z])")
 SYMBOL = re.compile(r"[#$%^&*_=+<>~`|\\@{}\[\]/■□◇◆●○▲△▼▽★☆※→←↑↓�]")
 LEADERS = re.compile(r"\.{4,}|…{2,}|·{4,}")
 MARK_RUN = re.compile(r"([^\w\s])\1{3,}")
+ASCII_LETTER = re.compile("[A-Za-z]")
+DIGIT = re.compile(r"\d")
+ENTRY = re.compile(r"[\n、;；/|,，]")
+SEPARATORS = tuple((re.compile(p), re.compile(p)) for p in (r"[|│¦‖]", r"\t", r" {2,}", r";", r",(?! )"))
 #: Latin letters, digits and signs without a space
 RUN_OR_TOKEN = re.compile(r"[!-~]{8,}")
 
 
 def language_of(text: str) -> str:
     """zh or en, by the letters; the field of the table is partly wrong."""
-    han = len(HAN.findall(text))
-    return "zh" if han * 4 >= sum(map(len, LATIN_WORD.findall(text))) else "en"
+    han = sum(map(len, HAN_RUN.findall(text)))
+    return "zh" if han * 4 >= sum(map(len, LATIN_RUN.findall(text))) else "en"
+
+
+def _ranges(points: list[int]) -> str:
+    """Body of a character class for sorted code points."""
+    out, start = [], points[0]
+    for a, b in zip(points, [*points[1:], -1]):
+        if b != a + 1:
+            out.append(chr(start) if start == a else f"{chr(start)}-{chr(a)}")
+            start = b
+    return "".join(out)
 
 
 def level_one(c: str) -> bool:
@@ -70,25 +87,32 @@ def level_one(c: str) -> bool:
         return False
 
 
-_LEVEL: dict[str, bool] = {}
+RARE = re.compile(f"[{_ranges([n for n in (*range(0x3400, 0x4DC0), *range(0x4E00, 0xA000)) if not level_one(chr(n))])}]")
+#: Signs of text decoded with the wrong table, and private or control characters.
+UNREADABLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x80-\xbfÀ-ÿ\ue000-\uf8ff\ufffd]")
+READABLE_SIGNS = re.compile("[·°±²³µ»«§©®£¥¢]")
 
 
-def _rare_share(text: str, total: int) -> float:
-    seen = Counter(HAN.findall(text))
-    if not total:
+def _unreadable(text: str) -> float:
+    n = len(UNREADABLE.findall(text)) - len(READABLE_SIGNS.findall(text)) if not text.isascii() else len(UNREADABLE.findall(text))
+    if not n:
         return 0.0
-    rare = 0
-    for c, n in seen.items():
-        if c not in _LEVEL:
-            _LEVEL[c] = level_one(c)
-        rare += 0 if _LEVEL[c] else n
-    return rare / total
+    return n / len(text) if n * 8 > len(ASCII_LETTER.findall(text)) else n / len(text) / 4
 
 
-def _unreadable(text: str) -> float:
-    n = sum(1 for c in text if c == "�" or "\x80" <= c <= "\xbf" and c not in "·°±²³µ»«§©®£¥¢" or "À" <= c <= "ÿ" or "" <= c <= "" or c < " " and c not in "\n\t\r")
-    latin = sum(1 for c in text if c.isascii() and c.isalpha())
-    return n / len(text) if n * 8 > latin else n / len(text) / 4
+def _repetition(text: str, width: int = 10, often: int = 5) -> float:
+    """Share of the positions at which a run of ``width`` characters starts that stands ``often`` times or more in the text."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    n = len(points) - width + 1
+    if n < often:
+        return 0.0
+    h = np.zeros(n, np.uint64)
+    for i in range(width):
+        h = h * np.uint64(1_000_003) + points[i : i + n]
+    h.sort()
+    ends = np.flatnonzero(np.append(h[1:] != h[:-1], True))
+    counts = np.diff(ends, prepend=-1)
+    return float(counts[counts >= often].sum()) / n
 
 
 def cells_of(line: str) -> list[str]:
@@ -96,49 +120,52 @@ def cells_of(line: str) -> list[str]:
     x = line.strip()
     if LEADERS.search(x):
         return [x]
-    for separator in (r"\||│|¦|‖", r"\t", r" {2,}", r";", r",(?! )"):
-        cells = [c.strip() for c in re.split(separator, x.strip("|"))]
-        if len(cells) > 2 and max(map(len, cells)) <= 32:
+    for mark, separator in SEPARATORS:
+        if mark.search(x):
+            cells = [c.strip() for c in separator.split(x.strip("|"))]
+            if len(cells) > 2 and max(map(len, cells)) <= 32:
+                return cells
+    if " " in x:
+        cells = x.split(" ")
+        if len(cells) > 2 and sum(1 for c in cells if NUMBER_CELL.match(c)) >= max(2, len(cells) - 4):
             return cells
-    cells = x.split(" ")
-    if len(cells) > 2 and sum(1 for c in cells if NUMBER_CELL.match(c)) >= max(2, len(cells) - 4):
-        return cells
     return [x]
 
 
 def statistics(text: str, common: set[str]) -> list[float]:
     """The statistics of one text that holds at least one character besides space."""
     lines = [x for x in text.splitlines() if x.strip()]
-    flat = re.sub(r"\s+", " ", text).strip()
+    flat = SPACE.sub(" ", text).strip()
     chars = len(flat)
     dense = chars - flat.count(" ")
-    words = WORD.findall(flat)
-    low = [w.lower() for w in words]
+    # a Chinese character is a word, any other run of letters too
+    han = sum(map(len, HAN_RUN.findall(flat)))
+    others = WORD.findall(flat.lower())
+    letters = sum(map(len, others))
+    n_words = han + len(others)
     zh = language_of(text) == "zh"
+    hits = sum(1 for w in others if w in common)
     if zh:
-        hits = sum(flat.count(w) * len(w) for w in common if not w.isascii()) + sum(1 for w in low if w in common and w.isascii())
-        share = hits / max(1, len(words))
-    else:
-        share = sum(1 for w in low if w in common) / max(1, len(words))
+        hits += sum(flat.count(w) * len(w) for w in common if not w.isascii())
+    share = hits / max(1, n_words)
     size = sum(map(len, lines))
     rows = [(len(x), r) for x in lines if len(r := cells_of(x)) > 2]
     widths = Counter(len(r) for _, r in rows)
     usual = sum(n for n, r in rows if widths[len(r)] >= 3) / size
-    number_cells = sum(n for n, _ in rows) / size * sum(1 for _, r in rows for y in r if NUMBER_CELL.match(y)) / max(1, sum(len(r) for _, r in rows))
+    number_cells = sum(n for n, _ in rows) / size * sum(1 for _, r in rows for y in r if NUMBER_CELL.match(y)) / max(1, sum(len(r) for _, r in rows)) if rows else 0.0
     enum = sum(len(x) for x in lines if ENUMERATED.match(x)) / size
-    entries = [y for y in re.split(r"\n|、|;|；|/|\||,|，", text) if y.strip()]
+    entries = [y for y in ENTRY.split(text) if y.strip()]
     stops = len(STOP.findall(text))
     short = sum(1 for y in entries if len(y.strip()) <= (14 if zh else 34)) / len(entries)
-    code = sum(m.end() - m.start() for m in CODE.finditer(text))
+    tokens = RUN_OR_TOKEN.findall(flat)
+    code = sum(map(len, HEX_DUMP.findall(text))) + sum(len(m) for t in tokens for m in CODE.findall(t))
     plain = MARK_RUN.sub("", flat)
-    grams = Counter(plain[i : i + 10] for i in range(max(1, len(plain) - 9)))
-    repeated = sum(n for n in grams.values() if n >= 5) / max(1, sum(grams.values()))
     bare = sum(len(x.replace(" ", "")) for x in lines if not any(map(str.isalnum, x)))
     return [
-        math.log1p(len(words)),
-        min(30.0, sum(map(len, words)) / max(1, len(words)) if not zh else 1 + sum(len(w) - 1 for w in words) / max(1, len(words)) / 2),
+        math.log1p(n_words),
+        min(30.0, (han + letters) / max(1, n_words) if not zh else 1 + (letters - len(others)) / max(1, n_words) / 2),
         max(bare, len(SYMBOL.findall(text))) / dense,
-        sum(map(str.isdigit, flat)) / max(1, dense),
+        len(DIGIT.findall(flat)) / max(1, dense),
         sum(1 for x in lines if SENTENCE_END.search(x.strip())) / len(lines),
         share,
         math.log(1 + min(3000.0, chars / (stops + 1)) / (1 if zh else 3)),
@@ -146,10 +173,10 @@ def statistics(text: str, common: set[str]) -> list[float]:
         number_cells,
         enum if len(lines) > 2 else 0.0,
         short * (1 if len(entries) > 5 else len(entries) / 6),
-        _rare_share(text, len(words)),
+        len(RARE.findall(text)) / max(1, n_words),
         code / chars,
-        math.log1p(max(len(m) for m in RUN_OR_TOKEN.findall(flat) or [""])),
-        repeated,
+        math.log1p(max(map(len, tokens), default=0)),
+        _repetition(plain),
         _unreadable(text),
     ]
 
