@@ -45,7 +45,7 @@ SOFT_BREAK = re.compile(rf"(?<=[{WIDE_CHARACTER}])\n(?=[^\n])|(?<=[^\n])\n(?=[{W
 HAN = re.compile("[一-鿿]")
 #: A line's end beside a digit in Chinese text, whose lines are wrapped at any character.
 WRAPPED_NUMBER = re.compile(r"(?<=[A-Za-z0-9%.,)-])\n(?=[0-9])|(?<=[0-9])\n(?=[A-Za-z0-9%])|(?<=[A-Za-z])\n(?=[%.,])")
-BAR = re.compile(r"(?<=[0-9.,])\|(?=[0-9.,%％亿])|(?<![\w|\s])\|(?=[0-9]+[.,])")
+BAR = re.compile(r"(?<=[0-9.,])\|(?=[0-9.,%％亿忆万元])|(?<![\w|\s])\|(?=[0-9]+[.,])")
 #: The number of a page, perhaps with the total (for the JVM).
 PAGE = r"(?i)^[^\p{L}\p{N}%]*(?:第\s*|page\s+|pg?\.\s*)?(\d{1,5})(?:\s*页)?(?:[\s，,]*(?:/|／|\||of|共)\s*(\d{1,5})(?:\s*页)?)?[^\p{L}\p{N}%]*$"
 
@@ -186,15 +186,17 @@ def inspect(text: str, names: Names, known: dict[tuple[str, str], str]) -> tuple
     for k, form, s, e in observed(joined, names.mask(joined)):
         right = known.get((k, form))
         if right is not None and k[0] in "CWN":
-            votes.setdefault((s, e), {})[k[2] if k[0] == "C" else k[0]] = right
+            vote = k[2] if k[0] == "C" else k[0]
+            votes.setdefault((s, e), {})["sure" if vote == "l" and k[4].isalpha() and "0" not in k and "\x01" not in k else vote] = right
     edits = []
     for (s, e), v in votes.items():
         if "N" in v:
             edits.append((s, e, "".join(DIGIT_OF.get(c, c) for c in joined[s:e])))
         elif "W" in v:
             edits.append((s, e, v["W"]))
-        elif "m" in v or len(v) > 1:
-            edits.append((s, e, v.get("m") or v["l"]))
+        elif "m" in v or "sure" in v or len(v) > 1:
+            # the neighbours on both sides, or the two characters before if the nearer is a letter, decide alone
+            edits.append((s, e, v.get("m") or v.get("sure") or v["l"]))
     repaired, end = [], 0
     for s, e, x in sorted(edits):
         if s >= end:
