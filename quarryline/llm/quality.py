@@ -58,7 +58,8 @@ MARK_RUN = re.compile(r"([^\w\s])\1{3,}")
 ASCII_LETTER = re.compile("[A-Za-z]")
 DIGIT = re.compile(r"\d")
 ENTRY = re.compile(r"[\n、;；/|,，]")
-SEPARATORS = tuple((re.compile(p), re.compile(p)) for p in (r"[|│¦‖]", r"\t", r" {2,}", r";", r",(?! )"))
+SEPARATORS = tuple(map(re.compile, (r"[|│¦‖]", r"\t", r" {2,}", r";", r",(?! )")))
+MARK = re.compile(r"[|│¦‖\t; ,]")
 #: Latin letters, digits and signs without a space
 RUN_OR_TOKEN = re.compile(r"[!-~]{8,}")
 
@@ -118,13 +119,12 @@ def _repetition(text: str, width: int = 10, often: int = 5) -> float:
 def cells_of(line: str) -> list[str]:
     """Cells of a row by the strongest separator that it holds; a row of numbers may be separated by single spaces. Prose is one cell."""
     x = line.strip()
-    if LEADERS.search(x):
+    if not MARK.search(x) or LEADERS.search(x):
         return [x]
-    for mark, separator in SEPARATORS:
-        if mark.search(x):
-            cells = [c.strip() for c in separator.split(x.strip("|"))]
-            if len(cells) > 2 and max(map(len, cells)) <= 32:
-                return cells
+    for separator in SEPARATORS:
+        cells = separator.split(x.strip("|"))
+        if len(cells) > 2 and max(map(len, cells := [c.strip() for c in cells])) <= 32:
+            return cells
     if " " in x:
         cells = x.split(" ")
         if len(cells) > 2 and sum(1 for c in cells if NUMBER_CELL.match(c)) >= max(2, len(cells) - 4):
@@ -132,8 +132,8 @@ def cells_of(line: str) -> list[str]:
     return [x]
 
 
-def statistics(text: str, common: set[str]) -> list[float]:
-    """The statistics of one text that holds at least one character besides space."""
+def statistics(text: str, common: set[str], language: str | None = None) -> list[float]:
+    """The statistics of one text that holds at least one character besides space; the language is told from the text if it isn't given."""
     lines = [x for x in text.splitlines() if x.strip()]
     flat = SPACE.sub(" ", text).strip()
     chars = len(flat)
@@ -143,7 +143,7 @@ def statistics(text: str, common: set[str]) -> list[float]:
     others = WORD.findall(flat.lower())
     letters = sum(map(len, others))
     n_words = han + len(others)
-    zh = language_of(text) == "zh"
+    zh = (language or language_of(text)) == "zh"
     hits = sum(1 for w in others if w in common)
     if zh:
         hits += sum(flat.count(w) * len(w) for w in common if not w.isascii())
@@ -166,7 +166,7 @@ def statistics(text: str, common: set[str]) -> list[float]:
         min(30.0, (han + letters) / max(1, n_words) if not zh else 1 + (letters - len(others)) / max(1, n_words) / 2),
         max(bare, len(SYMBOL.findall(text))) / dense,
         len(DIGIT.findall(flat)) / max(1, dense),
-        sum(1 for x in lines if SENTENCE_END.search(x.strip())) / len(lines),
+        sum(1 for x in lines if SENTENCE_END.search(x.rstrip()[-8:])) / len(lines),
         share,
         math.log(1 + min(3000.0, chars / (stops + 1)) / (1 if zh else 3)),
         usual,
@@ -189,7 +189,8 @@ def _stats_frame(documents: DataFrame, key: str, text: str, common: DataFrame) -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"k": b["k"], "language": [language_of(t) for t in b["t"]], "x": [statistics(t, words) for t in b["t"]]})
+            languages = [language_of(t) for t in b["t"]]
+            yield pd.DataFrame({"k": b["k"], "language": languages, "x": [statistics(t, words, lang) for t, lang in zip(b["t"], languages)]})
 
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null").filter(F.col("t").rlike(r"[^\p{Z}\s]"))
     return rows.mapInPandas(run, f"k {kind}, language string, x array<double>")
