@@ -22,7 +22,7 @@ def rank_in_buckets(df: DataFrame, group: Sequence[str], value: str, tie: Sequen
     """Adds ``_less`` (rows of the group before the row's tie) and ``_same`` (rows in its tie), ascending by value and tie.
 
     Ties are counted before anything is shuffled, so a value that a third of the rows share is one row;
-    the distinct values are then ranked in quantile buckets of their group, each in a task of its own.
+    the distinct values are then ranked in quantile buckets of their group, each in a task of its own. Rows with a null key are left out.
     """
     keys = [*group, value, *tie]
     ties = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_same"))
