@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions.checkpoints import cut_lineage
+
+#: Queries of a table that are broadcast at once, and rows scored against them at once.
+QUERY_BLOCK, SCORED_ROWS = 1_024, 2_000
+
 # Words of reporting periods, and what a match adds.
 PERIODS = (("q1", ("一季报", "一季度", "Q1", "q1")), ("h1", ("半年报", "中报", "H1", "h1")), ("q3", ("三季报", "三季度", "Q3", "q3")), ("annual", ("年报", "年度")))
 PERIOD_BOOST = 0.06
@@ -55,6 +62,129 @@ def bm25_top_k(documents: DataFrame, queries: Sequence[tuple[str, Sequence[str]]
     return flat.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
 
 
+class _Best:
+    """The ``k`` best rows a query so far, by score rounded to 6 decimals and then by key."""
+
+    def __init__(self, queries: int, k: int, least: float):
+        self.k, self.floor, self.rows = k, np.full(queries, least), pd.DataFrame({"q": [], "key": [], "s": []})
+
+    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        """Takes the scores (row x query) of rows with these keys; those below the floor of their query can't be among the best."""
+        scores = np.round(scores, 6)
+        low = np.maximum(self.floor, np.partition(scores, len(keys) - self.k, axis=0)[len(keys) - self.k]) if len(keys) > self.k else self.floor
+        at, q = np.nonzero(scores >= low)
+        if len(at):
+            rows = pd.DataFrame({"q": q, "key": keys[at], "s": scores[at, q]})
+            rows = pd.concat([self.rows, rows]) if len(self.rows) else rows
+            self.rows = rows.sort_values(["q", "s", "key"], ascending=[True, False, True]).groupby("q").head(self.k)
+            last = self.rows.groupby("q")["s"].agg(["size", "last"])
+            last = last[last["size"] == self.k]
+            self.floor[last.index.to_numpy(dtype=int)] = np.maximum(self.floor[last.index.to_numpy(dtype=int)], last["last"].to_numpy())
+
+
+def _top_of_blocks(corpus: DataFrame, queries: DataFrame, query: str, key: str, k: int, least: float, score: str, prepare: Callable, scorer: Callable) -> DataFrame:
+    """(query, key, score, rank) of every query of a table against every row of ``corpus``.
+
+    Queries are broadcast in blocks of about QUERY_BLOCK, whose size doesn't depend on their number; each partition keeps its best ``k`` rows a query, so only these are shuffled.
+    ``prepare`` makes (ids, data) of a block's collected rows; ``scorer`` yields (keys, scores) of a batch.
+    """
+    spark, blocks = corpus.sparkSession, max(1, math.ceil(queries.select(query).distinct().count() / QUERY_BLOCK))
+    kinds = queries.schema[query].dataType.simpleString(), corpus.schema[key].dataType.simpleString()
+    schema, found = f"query {kinds[0]}, `{key}` {kinds[1]}, `{score}` double", []
+    for i in range(blocks):
+        ids, data = prepare(queries.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == i).collect())
+        if not ids:
+            continue
+        sent = spark.sparkContext.broadcast((ids, data))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            names, block = sent.value
+            best = _Best(len(names), k, least)
+            for b in batches:
+                for at in range(0, len(b), SCORED_ROWS):
+                    best.add(*scorer(b.iloc[at : at + SCORED_ROWS], block, len(names)))
+            yield pd.DataFrame({"query": [names[int(q)] for q in best.rows["q"]], key: best.rows["key"].tolist(), score: best.rows["s"].tolist()})
+
+        part = corpus.mapInPandas(run, schema)
+        found.append(cut_lineage(part) if blocks > 1 else part)
+        if blocks > 1:
+            sent.destroy()
+    out = found[0] if found else spark.createDataFrame([], schema)
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(score), key))).filter(F.col("rank") <= k)
+
+
+def cosine_top_k_of(vectors: DataFrame, queries: DataFrame, query: str, key: str, vector: str, k: int) -> DataFrame:
+    """(query, key, similarity, rank): the ``k`` rows nearest to each query of a table, exact; every row is compared with every query.
+
+    ``queries`` has ``query`` (unique) and ``vector``, all of one length. Null keys, and null, infinite or zero vectors and those of another length are left out on either side; ties by key.
+    """
+
+    def valid(df: DataFrame, name: str) -> DataFrame:
+        norm = dot(F.col(vector), F.col(vector))
+        return df.select(name, vector).filter(F.col(name).isNotNull() & F.col(vector).isNotNull()).filter((norm > 0) & (norm < float("inf")))
+
+    def unit(column) -> np.ndarray:
+        m = np.array([np.asarray(x, dtype=float) for x in column])
+        return m / np.sqrt((m * m).sum(1))[:, None]
+
+    def prepare(rows: list) -> tuple[list, np.ndarray | None]:
+        if len({len(r[vector]) for r in rows}) > 1:
+            raise ValueError("query vectors have different lengths")
+        return [r[query] for r in rows], unit(r[vector] for r in rows) if rows else None
+
+    def scorer(b: pd.DataFrame, block: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        b = b[b[vector].map(len) == block.shape[1]]
+        return b[key].to_numpy(), unit(b[vector]) @ block.T if len(b) else np.zeros((0, n))
+
+    return _top_of_blocks(valid(vectors, key), valid(queries, query), query, key, k, -np.inf, "similarity", prepare, scorer)
+
+
+def search_words(text: Column) -> Column:
+    """Lower-case words in order; a run of Chinese characters, which has no spaces, gives its pairs of neighbours (a single one itself)."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}&&\p{IsHan}]+|[\p{L}\p{N}&&[^\p{IsHan}]]+)"), F.lit(1))
+    pairs = lambda r: F.when(r.rlike(r"^\p{IsHan}{2}"), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array(r))
+    return F.flatten(F.transform(runs, pairs))
+
+
+def bm25_top_k_of(documents: DataFrame, queries: DataFrame, query: str, key: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, key, score, rank) of the ``k`` best documents of each query text of a table, by BM25 over ``search_words``; every document is scored against every query.
+
+    ``queries`` has ``query`` (unique) and ``text``; a word that a query repeats counts as often. Document frequencies and mean length come from the whole corpus.
+    Null keys and texts are left out on either side, documents without a word of the query aren't listed; ties by key.
+    """
+    words = documents.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key), search_words(F.col(text)).alias("_w"))
+    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w")).alias("mean")).first()
+    total, mean = stats["n"], stats["mean"] or 1.0
+    asked = queries.filter(F.col(query).isNotNull() & F.col(text).isNotNull()).select(F.col(query), F.explode(search_words(F.col(text))).alias("_t")).groupBy(query, "_t").agg(F.count(F.lit(1)).alias("_q"))
+    spread = words.select(F.explode(F.array_distinct("_w")).alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_d"))
+    idf = F.log(1 + (F.lit(float(total)) - F.col("_d") + 0.5) / (F.col("_d") + 0.5))
+    weighed = cut_lineage(asked.join(spread, "_t").select(query, "_t", (idf * F.col("_q")).alias("_x")))
+
+    def prepare(rows: list) -> tuple[list, dict]:
+        ids = list(dict.fromkeys(r[query] for r in rows))
+        index, lists = {q: i for i, q in enumerate(ids)}, {}
+        for r in rows:
+            lists.setdefault(r["_t"], []).append((index[r[query]], r["_x"]))
+        return ids, {t: (np.array([i for i, _ in x], dtype=np.int32), np.array([w for _, w in x])) for t, x in lists.items()}
+
+    def scorer(rows: pd.DataFrame, block: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((len(rows), n))
+        for i, ws in enumerate(rows["_w"]):
+            counts: dict[str, int] = {}
+            for w in ws:
+                if w in block:
+                    counts[w] = counts.get(w, 0) + 1
+            size = k1 * (1 - b + b * len(ws) / mean)
+            if counts:
+                lists = [(*block[w], tf * (k1 + 1) / (tf + size)) for w, tf in counts.items()]
+                out[i] = np.bincount(np.concatenate([q for q, _, _ in lists]), np.concatenate([x * part for _, x, part in lists]), n)
+        return rows[key].to_numpy(), out
+
+    return _top_of_blocks(words, weighed, query, key, k, 1e-6, "score", prepare, scorer)
+
+
 def latest_scores(hits: DataFrame, small_is_good: Sequence[str] = ("l2_dist",)) -> DataFrame:
     """(query_id, chunk_id, retriever, good): each retriever's latest valid score, signed so that large is good."""
     valid = hits.filter(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull() & F.col("retriever").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))

@@ -39,6 +39,18 @@ def bm25_top(spark: SparkSession, root: str) -> DataFrame:
     return R.bm25_top_k(read_table(spark, root, "documents"), TERMS, "doc_id", "text", 20)
 
 
+def cosine_top_all(spark: SparkSession, root: str) -> DataFrame:
+    """Nearest vectors of every vector whose id is divisible by 100, exact."""
+    vectors = read_table(spark, root, "embeddings")
+    return R.cosine_top_k_of(vectors, vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding"), "query", "vec_id", "embedding", 10)
+
+
+def bm25_top_all(spark: SparkSession, root: str) -> DataFrame:
+    """Best documents of the text of every document whose id is divisible by 100."""
+    documents = read_table(spark, root, "documents")
+    return R.bm25_top_k_of(documents, documents.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "text"), "query", "doc_id", "text", 20)
+
+
 def rank_fusion(spark: SparkSession, root: str) -> DataFrame:
     """Reciprocal rank fusion of all retrievers."""
     return R.reciprocal_rank_fusion(R.ranked_lists(_scores(spark, root)))
@@ -161,7 +173,7 @@ def event_rollup(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (cosine_top, bm25_top, rank_fusion, weighted_score_fusion, document_fusion, packed_results, expanded_results, year_boosted, interleaved, tool_steps, tool_usage, question_types, rendered_chats, parsed_calls, validated_samples, step_scores, sample_scores, event_properties, event_rollup)
+    for f in (cosine_top, bm25_top, cosine_top_all, bm25_top_all, rank_fusion, weighted_score_fusion, document_fusion, packed_results, expanded_results, year_boosted, interleaved, tool_steps, tool_usage, question_types, rendered_chats, parsed_calls, validated_samples, step_scores, sample_scores, event_properties, event_rollup)
 }
 
 _S = """
@@ -190,6 +202,16 @@ SQL = {
     "bm25_top": r"WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n, avg(len(ws)) AS m FROM d), q AS (SELECT * FROM (VALUES "
     + ", ".join(f"('{name}', '{t}')" for name, ts in TERMS for t in ts)
     + ") v(query, term)), tf AS (SELECT doc_id, len(ws) AS l, query, term, len(list_filter(ws, lambda w: w = term)) AS tf FROM d, q), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM tf WHERE tf > 0 GROUP BY 1), s AS (SELECT query, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / m))), 6) AS score FROM tf JOIN df USING (term), n GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20",
+    "cosine_top_all": "WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
+    "bm25_top_all": r"""
+WITH h AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '(\p{Han}+)', ' \1 ', 'g'), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, flatten(list_transform(ws, lambda w: CASE WHEN regexp_matches(w, '^\p{Han}{2}') THEN list_transform(range(1, length(w)), lambda i: w[i:i + 1]) ELSE [w] END)) AS ws FROM h),
+n AS (SELECT count(*) AS n, avg(len(ws)) AS m FROM d),
+tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS l, unnest(ws) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT doc_id AS query, term, tf AS qtf FROM tf WHERE doc_id % 100 = 0),
+s AS (SELECT query, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / m))), 6) AS score FROM tf JOIN q USING (term) JOIN df USING (term), n GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
     "rank_fusion": _S + "SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM k GROUP BY 1, 2",
     "weighted_score_fusion": _S
     + ", m AS (SELECT *, min(good) OVER p AS lo, max(good) OVER p AS hi FROM s WINDOW p AS (PARTITION BY query_id, retriever)) SELECT query_id, chunk_id, round(sum(CASE retriever WHEN 'dense' THEN 0.4::DOUBLE WHEN 'sparse' THEN 0.6::DOUBLE ELSE 0 END * CASE WHEN hi > lo THEN (good - lo) / (hi - lo) ELSE 0 END), 9) AS score FROM m GROUP BY 1, 2",
