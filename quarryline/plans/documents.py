@@ -88,7 +88,7 @@ def html_table_facts(spark: SparkSession, root: str) -> DataFrame:
 
 def table_packs(spark: SparkSession, root: str) -> DataFrame:
     """Markdown tables in packs of rows under their header."""
-    return chunking.packed_rows(markdown_tables(spark, root), ["block_id"], "markdown", 200)
+    return chunking.packed_rows(markdown_tables(spark, root), ["block_id"], "markdown")
 
 
 def table_runs(spark: SparkSession, root: str) -> DataFrame:

@@ -114,6 +114,13 @@ def index_rows(spark: SparkSession, root: str) -> DataFrame:
     return chunks.select("chunk_id", F.substring("text", 1, 200).alias("text"), *(F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c) for c, n in texts.items()), *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("page_idx", "chunk_index"))).distinct()
 
 
+def index_rows_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks as rows of an index with the reference's widths; rows are distinct before anything is cut."""
+    widths = {"source_type": 32, "chunk_method": 32, "stock_code": 16, "stock_name": 64, "institution": 128, "report_date": 24, "industry": 64, "rating": 32, "report_title": 256, "pdf_file": 256, "current_section": 256}
+    chunks = read_table(spark, root, "all_chunks").filter("chunk_id is not null").select("chunk_id", "text", *widths, "page_idx", "chunk_index").distinct()
+    return chunks.select(F.substring("chunk_id", 1, 256).alias("chunk_id"), F.substring("text", 1, 4096).alias("text"), *(F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c) for c, n in widths.items()), *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("page_idx", "chunk_index")))
+
+
 def indicator_facts(spark: SparkSession, root: str) -> DataFrame:
     """Indicators of the financial chunks as rows."""
     return facts.indicators(read_table(spark, root, "all_chunks")).select("chunk_id", "metric", "value", "unit")
@@ -183,7 +190,7 @@ def calculations(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        newest_reports, reports_since, report_files, stock_industry, major_industry, unreported_stocks, merged_crawls, latest_ratings, rating_counts, title_aliases, industry_aliases, report_chunks, report_forecasts, chunk_statistics, chunk_methods, index_rows,
+        newest_reports, reports_since, report_files, stock_industry, major_industry, unreported_stocks, merged_crawls, latest_ratings, rating_counts, title_aliases, industry_aliases, report_chunks, report_forecasts, chunk_statistics, chunk_methods, index_rows, index_rows_whole,
         indicator_facts, indicators_with_prior, latest_annual, peer_comparison, return_checks, order_amounts, clean_names, result_lines, fixed_window_chunks, sliding_window_chunks, calculations,
     )
 }
@@ -225,6 +232,7 @@ SELECT report_id, 'report_' || coalesce(stock_code, '') || '_' || dk || '_' || c
     "chunk_statistics": "SELECT source_type, count(*) AS n_chunks, count(DISTINCT CASE WHEN stock_code <> '' THEN stock_code END) AS n_stocks, round(avg(length(text)), 4) AS mean_length FROM (SELECT DISTINCT chunk_id, source_type, stock_code, text FROM all_chunks) GROUP BY 1",
     "chunk_methods": "SELECT source_type, chunk_method, count(*) AS n_chunks FROM (SELECT DISTINCT chunk_id, source_type, chunk_method FROM all_chunks) WHERE chunk_method IS DISTINCT FROM 'table_row_fact' GROUP BY 1, 2",
     "index_rows": "SELECT DISTINCT chunk_id, text[1:200] AS text, coalesce(source_type, '')[1:32] AS source_type, coalesce(stock_code, '')[1:16] AS stock_code, coalesce(stock_name, '')[1:64] AS stock_name, coalesce(institution, '')[1:128] AS institution, coalesce(report_date, '')[1:16] AS report_date, coalesce(current_section, '')[1:40] AS current_section, coalesce(page_idx, -1) AS page_idx, coalesce(chunk_index, -1) AS chunk_index FROM all_chunks WHERE chunk_id IS NOT NULL",
+    "index_rows_whole": "WITH c AS (SELECT DISTINCT chunk_id, text, source_type, chunk_method, stock_code, stock_name, institution, report_date, industry, rating, report_title, pdf_file, current_section, page_idx, chunk_index FROM all_chunks WHERE chunk_id IS NOT NULL) SELECT chunk_id[1:256] AS chunk_id, text[1:4096] AS text, coalesce(source_type, '')[1:32] AS source_type, coalesce(chunk_method, '')[1:32] AS chunk_method, coalesce(stock_code, '')[1:16] AS stock_code, coalesce(stock_name, '')[1:64] AS stock_name, coalesce(institution, '')[1:128] AS institution, coalesce(report_date, '')[1:24] AS report_date, coalesce(industry, '')[1:64] AS industry, coalesce(rating, '')[1:32] AS rating, coalesce(report_title, '')[1:256] AS report_title, coalesce(pdf_file, '')[1:256] AS pdf_file, coalesce(current_section, '')[1:256] AS current_section, coalesce(page_idx, -1) AS page_idx, coalesce(chunk_index, -1) AS chunk_index FROM c",
     "indicator_facts": _I + "SELECT chunk_id, metric, value, unit FROM i WHERE metric <> '' AND value IS NOT NULL",
     "indicators_with_prior": _I
     + ", o AS (SELECT stock_code, season, year, metric, arg_max(value, chunk_id) AS value, arg_max(unit, chunk_id) AS unit FROM i WHERE metric <> '' AND value IS NOT NULL GROUP BY ALL) SELECT o.stock_code, o.season, o.year, o.metric, o.value, b.value AS prior_value, o.metric || format('{:.2f}', o.value) || o.unit || CASE WHEN b.value IS NULL THEN '' ELSE '（上年同期' || format('{:.2f}', b.value) || o.unit || '）' END AS text FROM o LEFT JOIN o b ON b.stock_code = o.stock_code AND b.season = o.season AND b.metric = o.metric AND b.year = o.year - 1",

@@ -80,6 +80,12 @@ def packed_results(spark: SparkSession, root: str) -> DataFrame:
     return R.within_budget(fused, "query_id", "document", "position", "text", 3, 1200, 10).select("query_id", "slot", "chunk_id", "used")
 
 
+def packed_results_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Fused results that fit the reference's budget of characters."""
+    fused = R.document_fusion(_document_hits(spark, root))
+    return R.within_budget(fused, "query_id", "document", "position", "text").select("query_id", "slot", "chunk_id", "used")
+
+
 def expanded_results(spark: SparkSession, root: str) -> DataFrame:
     """Results of one PDF as one, with its title."""
     fused = R.document_fusion(_document_hits(spark, root)).withColumn("parent_id", F.col("document"))
@@ -173,7 +179,7 @@ def event_rollup(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (cosine_top, bm25_top, cosine_top_all, bm25_top_all, rank_fusion, weighted_score_fusion, document_fusion, packed_results, expanded_results, year_boosted, interleaved, tool_steps, tool_usage, question_types, rendered_chats, parsed_calls, validated_samples, step_scores, sample_scores, event_properties, event_rollup)
+    for f in (cosine_top, bm25_top, cosine_top_all, bm25_top_all, rank_fusion, weighted_score_fusion, document_fusion, packed_results, packed_results_whole, expanded_results, year_boosted, interleaved, tool_steps, tool_usage, question_types, rendered_chats, parsed_calls, validated_samples, step_scores, sample_scores, event_properties, event_rollup)
 }
 
 _S = """
@@ -217,6 +223,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DE
     + ", m AS (SELECT *, min(good) OVER p AS lo, max(good) OVER p AS hi FROM s WINDOW p AS (PARTITION BY query_id, retriever)) SELECT query_id, chunk_id, round(sum(CASE retriever WHEN 'dense' THEN 0.4::DOUBLE WHEN 'sparse' THEN 0.6::DOUBLE ELSE 0 END * CASE WHEN hi > lo THEN (good - lo) / (hi - lo) ELSE 0 END), 9) AS score FROM m GROUP BY 1, 2",
     "document_fusion": _D + "SELECT query_id, position, chunk_id, document, list, score FROM z",
     "packed_results": _D + ", y AS (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY position) AS nd FROM z), x AS (SELECT *, row_number() OVER o AS slot, sum(length(text)) OVER (PARTITION BY query_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS used FROM y WHERE nd <= 3 WINDOW o AS (PARTITION BY query_id ORDER BY position)) SELECT query_id, slot, chunk_id, used FROM x WHERE (slot = 1 OR used <= 1200) AND slot <= 10",
+    "packed_results_whole": _D + ", y AS (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY position) AS nd FROM z), x AS (SELECT *, row_number() OVER o AS slot, sum(length(text)) OVER (PARTITION BY query_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS used FROM y WHERE nd <= 3 WINDOW o AS (PARTITION BY query_id ORDER BY position)) SELECT query_id, slot, chunk_id, used FROM x WHERE (slot = 1 OR used <= 12000) AND slot <= 20",
     "expanded_results": _D + "SELECT query_id, document AS parent_id, max(score) AS score, min(position) AS first_position, any_value(p.report_title) AS parent_text FROM z LEFT JOIN pdf_map p ON document = p.pdf_file GROUP BY 1, 2",
     "year_boosted": "WITH " + _C + ", h AS (SELECT DISTINCT query_id, query_text, chunk_id FROM search_hits WHERE query_id IS NOT NULL) SELECT query_id, chunk_id, CASE WHEN list_contains(regexp_extract_all(query_text, '20\\d\\d'), year(day)::VARCHAR) THEN 0.01 ELSE 0 END AS boost, round(coalesce(0.4 * exp(-0.693 * greatest(date_diff('day', day, DATE '2026-06-30'), 0) / 365.0), 0), 6) AS bonus FROM h JOIN c USING (chunk_id)",
     "interleaved": _S + ", " + _C + ", m AS (SELECT query_id, chunk_id, retriever, rank, text[1:100] AS head, (retriever = 'bm25')::INT AS l FROM k JOIN c USING (chunk_id) WHERE retriever IN ('dense', 'bm25')), o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, head ORDER BY rank, l) = 1) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, l) AS position, chunk_id, retriever FROM o QUALIFY position <= 10",
