@@ -58,6 +58,11 @@ def beta_order_p(ranks: Column) -> Column:
     return F.array_min(F.transform(ranks, tail))
 
 
+def relative(p: Column, digits: int = 9) -> Column:
+    """A number rounded to so many significant digits, however small it is: nothing positive becomes 0, and what differs only by the order of sums is a tie."""
+    return F.format_string(f"%.{digits - 1}e", p).cast("double")
+
+
 def aggregate_ranks(
     hits: DataFrame,
     group: str = "query_id",
@@ -77,7 +82,8 @@ def aggregate_ranks(
     Defined cases: rows without group, item or source are left out. Of several rows of one source for one item the latest
     counts, of equally late ones the one with the larger score. Null, NaN and infinite scores count as not given, and so does a source
     that gives all its items of the group (two or more) one score. An item without any score keeps a place: rho 1, at the end. Ties in a
-    source share their mean rank; ties in the result (equal probability and equal mean rank) share the smallest rank.
+    source share their mean rank; ties in the result (equal probability and equal mean rank) share the smallest rank. Items are ranked by the probability to
+    9 significant digits; only the ``rho`` shown is rounded to 9 decimals.
     An empty table gives an empty result; further columns are ignored.
 
     Returns group, item, n_sources, mean_rank, rho, final_rank.
@@ -104,7 +110,7 @@ def aggregate_ranks(
         found = F.size("rs") > 0
         p = F.when(found, beta_order_p(F.col("rs"))).otherwise(F.lit(2.0))
         mean = F.when(found, F.aggregate("rs", F.lit(0.0), lambda a, r: a + r) / F.size("rs")).otherwise(F.lit(1.0))
-        return per.select("g", "i", F.size("rs").alias("n"), F.round(mean, 9).alias("m"), F.round(p * F.greatest(F.size("rs"), F.lit(1)), 9).alias("p"))
+        return per.select("g", "i", F.size("rs").alias("n"), F.round(mean, 9).alias("m"), relative(p * F.greatest(F.size("rs"), F.lit(1))).alias("p"))
 
     # groups that fit a task: one shuffle by group, which all windows and aggregates below reuse
     cold = clean.join(sizes, "g", "left_anti").repartition("g")
@@ -119,5 +125,5 @@ def aggregate_ranks(
     out = out.unionByName(rank_in_buckets(items, ["g"], "p", ["m"]).select(out.columns))
     return out.select(
         F.col("g").alias(group), F.col("i").alias(item), F.col("n").alias("n_sources"), F.col("m").alias("mean_rank"),
-        F.least(F.col("p"), F.lit(1.0)).alias("rho"), (F.col("_less") + 1).alias("final_rank"),
+        F.round(F.least(F.col("p"), F.lit(1.0)), 9).alias("rho"), (F.col("_less") + 1).alias("final_rank"),
     )
