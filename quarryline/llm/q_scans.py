@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm.scans import page_furniture, page_paragraphs, scan_noise
+from quarryline.llm.scans import document_paragraphs, page_furniture, scan_noise
 from quarryline.sources import read_table
 
 
@@ -24,8 +24,8 @@ def p6_furniture(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_paragraphs(spark: SparkSession, root: str) -> DataFrame:
-    """The repaired paragraphs of all pages."""
-    return page_paragraphs(read_table(spark, root, "content_list"), _names(spark, root))
+    """The repaired paragraphs of all PDFs, over page breaks."""
+    return document_paragraphs(read_table(spark, root, "content_list"), _names(spark, root))
 
 
 QUERIES = {"p6_found": p6_found, "p6_furniture": p6_furniture, "p6_paragraphs": p6_paragraphs}

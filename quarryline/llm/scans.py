@@ -291,6 +291,18 @@ def scan_noise(blocks: DataFrame, names: DataFrame, name: str = "name") -> DataF
     return read.select("block_id", F.explode(kinds).alias("noise")).unionByName(page_furniture(blocks)).distinct()
 
 
+def _readable(blocks: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """Text blocks with a place, without furniture, with their repaired text; ``ended`` if a paragraph can't go on after them."""
+    texts = _text_blocks(blocks).filter("pdf_file is not null and page_idx is not null")
+    clean = texts.join(page_furniture(blocks).select("block_id").distinct(), "block_id", "left_anti").join(read_noise(blocks, names, name).select("block_id", "repaired"), "block_id")
+    return clean.withColumn("ended", F.col("repaired").rlike("[。！？!?.：:；;…”）)%]\\s*$") | F.col("text_level").isNotNull())
+
+
+def _glued(parts: str) -> Column:
+    """The repaired texts of a paragraph's blocks as one; a hyphen after a letter at a block's end is closed."""
+    return F.aggregate(parts, F.lit(""), lambda a, p: F.when((a == "") | a.rlike(f"[{HYPHENS}]\\s*$") | a.rlike("[⺀-鿿＀-￯]$"), F.concat(F.regexp_replace(a, f"(?<=[{LATIN}])[{HYPHENS}]\\s*$", ""), p["repaired"])).otherwise(F.concat(a, F.lit(" "), p["repaired"])))
+
+
 def page_paragraphs(blocks: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
     """Continuous paragraphs of every page: (pdf_file, page_idx, paragraph, text, continues).
 
@@ -298,14 +310,32 @@ def page_paragraphs(blocks: DataFrame, names: DataFrame, name: str = "name") ->
     before it on the page has no level and no mark at its end. The first paragraph of a page ``continues`` if the page before ends within a sentence;
     pages are linked by their number, so no task holds more than one page.
     """
-    texts = _text_blocks(blocks).filter("pdf_file is not null and page_idx is not null")
-    clean = texts.join(page_furniture(blocks).select("block_id").distinct(), "block_id", "left_anti").join(read_noise(blocks, names, name).select("block_id", "repaired"), "block_id")
+    clean = _readable(blocks, names, name)
     order = Window.partitionBy("pdf_file", "page_idx").orderBy("block_idx", "block_id")
-    ended = F.col("repaired").rlike("[。！？!?.：:；;…”）)%]\\s*$") | F.col("text_level").isNotNull()
-    rows = clean.withColumn("ended", ended).withColumn("opens", F.coalesce(F.lag("ended").over(order), F.lit(True)) | F.col("text_level").isNotNull())
+    rows = clean.withColumn("opens", F.coalesce(F.lag("ended").over(order), F.lit(True)) | F.col("text_level").isNotNull())
     rows = rows.withColumn("paragraph", F.sum(F.col("opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    glue = F.aggregate("parts", F.lit(""), lambda a, p: F.when((a == "") | a.rlike(f"[{HYPHENS}]\\s*$") | a.rlike("[⺀-鿿＀-￯]$"), F.concat(F.regexp_replace(a, f"(?<=[{LATIN}])[{HYPHENS}]\\s*$", ""), p["repaired"])).otherwise(F.concat(a, F.lit(" "), p["repaired"])))
-    merged = rows.groupBy("pdf_file", "page_idx", "paragraph").agg(F.array_sort(F.collect_list(F.struct("block_idx", "block_id", "repaired"))).alias("parts"), F.max_by("ended", F.struct("block_idx", "block_id")).alias("ended")).withColumn("text", glue)
+    merged = rows.groupBy("pdf_file", "page_idx", "paragraph").agg(F.array_sort(F.collect_list(F.struct("block_idx", "block_id", "repaired"))).alias("parts"), F.max_by("ended", F.struct("block_idx", "block_id")).alias("ended")).withColumn("text", _glued("parts"))
     last = merged.groupBy("pdf_file", "page_idx").agg(F.max_by("ended", "paragraph").alias("page_ended")).withColumn("page_idx", F.col("page_idx") + 1)
     joined = merged.join(last, ["pdf_file", "page_idx"], "left")
     return joined.select("pdf_file", "page_idx", "paragraph", "text", ((F.col("paragraph") == 0) & ~F.coalesce("page_ended", F.lit(True))).alias("continues"))
+
+
+def document_paragraphs(blocks: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
+    """Continuous paragraphs of every PDF: (pdf_file, paragraph, page_idx, last_page, text), numbered from 0 over the whole PDF.
+
+    Page numbers and headers are left out, lines are joined, misread characters replaced. A block goes on with the paragraph of the text block before it, be that
+    on the same page or on the last page with text before, if it has no level and the one before has no level and no mark at its end; a word hyphenated between them is joined.
+    Pages are numbered on their own and get their offsets from one row a page, so no task holds the texts of a PDF, only those of a paragraph.
+    """
+    at, before = F.struct("block_idx", "block_id"), Window.unboundedPreceding
+    order = Window.partitionBy("pdf_file", "page_idx").orderBy("block_idx", "block_id")
+    heading = F.col("text_level").isNotNull()
+    rows = _readable(blocks, names, name).withColumn("opens", (heading | F.coalesce(F.lag("ended").over(order), F.lit(False))).cast("int"))
+    rows = rows.withColumn("within", F.sum("opens").over(order.rowsBetween(before, 0)))
+    pages = rows.groupBy("pdf_file", "page_idx").agg(F.sum("opens").alias("opened"), F.max_by("ended", at).alias("page_ended"), F.min_by(heading, at).alias("headed"))
+    chain = Window.partitionBy("pdf_file").orderBy("page_idx")
+    pages = pages.withColumn("starts", (F.coalesce(F.lag("page_ended").over(chain), F.lit(True)) & ~F.col("headed")).cast("int"))
+    pages = pages.select("pdf_file", "page_idx", (F.coalesce(F.sum(F.col("starts") + F.col("opened")).over(chain.rowsBetween(before, -1)), F.lit(0)) + F.col("starts") - 1).alias("offset"))
+    placed = rows.join(pages, ["pdf_file", "page_idx"]).withColumn("paragraph", F.col("offset") + F.col("within"))
+    merged = placed.groupBy("pdf_file", "paragraph").agg(F.min("page_idx").alias("page_idx"), F.max("page_idx").alias("last_page"), F.array_sort(F.collect_list(F.struct("page_idx", "block_idx", "block_id", "repaired"))).alias("parts"))
+    return merged.select("pdf_file", "paragraph", "page_idx", "last_page", _glued("parts").alias("text"))
