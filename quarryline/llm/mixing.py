@@ -35,7 +35,10 @@ def tokenizer(path: str):
 
 
 def fit_memberships(documents: DataFrame, sources: list[str], vocabulary: str, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Log-weights (source x feature, the last column the prior) of a naive Bayes classifier over hashed tokens, fitted on a bounded labelled sample."""
+    """Log-weights (source x feature, the last column the prior) of a naive Bayes classifier over hashed tokens, fitted on a bounded labelled sample.
+
+    A source without a labelled document has nothing to be told by: its prior is 0, so no document is a member of it.
+    """
     index = {s: i for i, s in enumerate(sources)}
     sample = documents.filter(F.col("source").isin(sources) & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("source", "text")
 
@@ -52,7 +55,8 @@ def fit_memberships(documents: DataFrame, sources: list[str], vocabulary: str, s
     for s, f, n in sample.mapInPandas(count, "s int, f int, n double").groupBy("s", "f").agg(F.sum("n")).collect():
         table[s, f] = n
     weights = np.log((table[:, :FEATURES] + 0.5) / (table[:, FEATURES:] + 1.0))
-    prior = np.log((table[:, FEATURES] + 1) / (table[:, FEATURES].sum() + len(sources)))
+    known = table[:, FEATURES] > 0
+    prior = np.where(known, np.log((table[:, FEATURES] + 1) / (table[:, FEATURES].sum() + max(1, known.sum()))), -np.inf)
     return np.concatenate([weights, prior[:, None]], 1)
 
 
@@ -60,6 +64,8 @@ def posterior(weights: np.ndarray, ids: list[int]) -> list[float]:
     """Memberships of a text with these tokens; the evidence is divided by the root of the number of features, as they depend on one another."""
     seen = np.unique(np.array(ids, dtype=int) % FEATURES)
     score = weights[:, FEATURES] + (weights[:, seen].sum(1) / max(1.0, np.sqrt(len(seen))) if len(seen) else 0)
+    if not np.isfinite(score).any():
+        return [0.0] * len(score)
     p = np.exp(score - score.max())
     return (p / p.sum()).tolist()
 
@@ -134,7 +140,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCA
     without a source is a member by the posterior of a classifier, fitted on at most ``sample_rows`` labelled documents; one of a source without a
     target is not used. Rates are fitted by projected gradient; the fractions are rounded along the order of size so that tokens, not only counts, add up.
 
-    Defined cases: weights are scaled to add up to 1 over the sources that have documents, so a target without documents leaves its share to the rest; null, NaN or
+    Defined cases: weights are scaled to add up to 1 over the sources that have documents, so a target without documents leaves its share to the rest, also if documents without a source are classified; null, NaN or
     negative weights count as 0, null caps as 1; a source listed twice has its first row by weight. Null ids are left out, repeated rows count once, null or empty texts have no
     tokens and are never taken. Without documents or targets the result is empty.
 

@@ -66,3 +66,15 @@ def test_posterior_sums_to_one():
     from quarryline.llm.mixing import FEATURES
 
     assert abs(sum(posterior(np.zeros((3, FEATURES + 1)), [1, 2, 3])) - 1) < 1e-9 and len(posterior(np.zeros((2, FEATURES + 1)), [])) == 2
+
+
+def test_a_target_without_documents_takes_no_members(spark):
+    rows, schema = documents(spark, 2, 1500)
+    hidden = [(i, t, None if i % 20 == 0 else s, x, y) for i, t, s, x, y in rows]
+    both = [("a", 50.0, 1), ("b", 30.0, 3), ("c", 20.0, 9)]
+    tables = [spark.createDataFrame(hidden, schema), spark.createDataFrame(both, TARGETS), spark.createDataFrame([*both, ("podcast", 40.0, 2)], TARGETS)]
+    without, picked = (sorted(map(tuple, mix_sources(tables[0], t).collect())) for t in tables[1:])
+    assert not any(s == "podcast" for _, s, *_ in picked)
+    assert sum(n * c for _, _, n, c, _ in picked) == sum(n * c for _, _, n, c, _ in without) > 0
+    unlabelled = spark.createDataFrame([(1, "x", None, 0.0, "x")], schema)
+    assert mix_sources(unlabelled, tables[1]).count() == 0
