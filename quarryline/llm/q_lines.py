@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.repeated_lines import body_lines, line_templates, pdf_sources, repeated_lines, without_repeated_lines
+from quarryline.llm.repeated_lines import line_templates, placed_lines, repeated_lines, without_repeated_lines
 from quarryline.sources import read_table
 
 
 def _found(spark: SparkSession, root: str) -> DataFrame:
-    return repeated_lines(read_table(spark, root, "content_list"), read_table(spark, root, "all_chunks"))
+    return repeated_lines(read_table(spark, root, "content_list"), read_table(spark, root, "all_chunks"), distinct=False)
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -30,8 +30,8 @@ def p2_lines(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_templates(spark: SparkSession, root: str) -> DataFrame:
     """The line templates that cover enough documents of a source."""
-    blocks = read_table(spark, root, "content_list")
-    return line_templates(body_lines(blocks), pdf_sources(blocks, read_table(spark, root, "all_chunks"))).select("source", "template", F.col("n_leaf_docs").alias("n_docs"))
+    placed = placed_lines(read_table(spark, root, "content_list"), read_table(spark, root, "all_chunks"))
+    return line_templates(placed).select("source", "template", F.col("n_leaf_docs").alias("n_docs"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p2_lines": p2_lines, "p2_templates": p2_templates}
@@ -50,6 +50,15 @@ found AS (SELECT DISTINCT block_id, line_no FROM lines JOIN docs USING (pdf_file
 """
 SQL = {
     "p2_found": _BASE + "SELECT block_id, line_no FROM found",
+    "p2_templates": _BASE
+    + """, k AS (SELECT DISTINCT source, key[1:6] || chr(1) || key[-2:] AS path, key, pdf_file FROM lines JOIN docs USING (pdf_file) WHERE length(key) >= 8),
+leaf AS (SELECT source, path, count(DISTINCT pdf_file) AS n, min(key) AS lo, max(key) AS hi, min(reverse(key)) AS rlo, max(reverse(key)) AS rhi, min(length(key)) AS short, max(length(key)) AS long FROM k GROUP BY 1, 2),
+wide AS (SELECT leaf.* FROM leaf JOIN tot USING (source) WHERE n >= 3 AND 5 * n >= n_docs),
+cut AS (SELECT *, len(list_filter(range(1, length(lo) + 1), lambda i: lo[1:i] = hi[1:i])) AS lead, len(list_filter(range(1, length(rlo) + 1), lambda i: rlo[1:i] = rhi[1:i])) AS back FROM wide),
+ends AS (SELECT *, CASE WHEN lo = hi THEN 0 ELSE least(back, short - lead) END AS trail FROM cut),
+mid AS (SELECT source, path, i, CASE WHEN min(key[i]) = max(key[i]) THEN min(key[i]) ELSE '*' END AS c FROM k JOIN ends USING (source, path), unnest(range(lead + 1, long - trail + 1)) u(i) WHERE lo <> hi AND short = long GROUP BY 1, 2, 3),
+fill AS (SELECT source, path, string_agg(c, '' ORDER BY i) AS m FROM mid GROUP BY 1, 2)
+SELECT source, CASE WHEN lo = hi THEN lo ELSE lo[1:lead] || regexp_replace(coalesce(m, '*'), '[*]+', '*', 'g') || CASE WHEN trail > 0 THEN lo[-trail:] ELSE '' END END AS template, n AS n_docs FROM ends LEFT JOIN fill USING (source, path)""",
     "p2_lines": _BASE + "SELECT source, key, n_line_docs, n_docs FROM hit",
     "p2_clean": _BASE
     + """, gone AS (SELECT block_id, list(line_no) AS g FROM found GROUP BY 1), c AS (SELECT DISTINCT block_id, text FROM content_list)

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 from conftest import rows
 
-from quarryline.llm.repeated_lines import body_lines, line_templates, pdf_sources, repeated_lines, without_repeated_lines
+from quarryline.llm.repeated_lines import line_templates, placed_lines, repeated_lines, without_repeated_lines
 
 BLOCKS = "block_id long, pdf_file string, block_type string, text_level int, text string, source string, page_idx int"
 CHUNKS = "pdf_file string, institution string, text string"
@@ -64,16 +64,45 @@ def test_clean_text(spark):
     assert dict(map(tuple, without_repeated_lines(b, repeated_lines(b, c)).collect())) == want
 
 
-def test_templates_do_not_depend_on_partitions(spark):
-    blocks, chunks = example()
-    b, c = spark.createDataFrame(blocks, BLOCKS), spark.createDataFrame(chunks, CHUNKS)
-    one = rows(line_templates(body_lines(b.repartition(1)), pdf_sources(b, c)))
-    assert one == rows(line_templates(body_lines(b.repartition(7)), pdf_sources(b, c))) and one
+def leaf_spec(keys):
+    """The template of a leaf's lines, by looking at all of them at once."""
+    lo, n = min(keys), min(map(len, keys))
+    if len(keys) == 1:
+        return lo
+    lead = next(i for i in range(n + 1) if i == n or len({k[i] for k in keys}) > 1)
+    trail = next(i for i in range(n - lead + 1) if i == n - lead or len({k[-1 - i] for k in keys}) > 1)
+    middle = "".join(next(iter(c)) if len(c) == 1 else "*" for c in map(set, zip(*(k[lead : len(k) - trail] for k in keys)))) if len(set(map(len, keys))) == 1 else "*"
+    return lo[:lead] + re.sub(r"[*]+", "*", middle) + lo[len(lo) - trail :]
+
+
+def test_templates_match_all_their_lines_however_they_are_partitioned(spark):
+    for seed in range(3):
+        blocks, chunks = example(seed)
+        b, c = spark.createDataFrame(blocks, BLOCKS), spark.createDataFrame(chunks, CHUNKS)
+        one = rows(line_templates(placed_lines(b.repartition(1), c)))
+        assert one == rows(line_templates(placed_lines(b.repartition(7), c))) and one
+        leaves = defaultdict(set)
+        for r in placed_lines(b, c).collect():
+            leaves[r.source, r.path].add(r.key)
+        for source, path, template, lead, trail, *_ in one:
+            keys = leaves[source, path]
+            assert template == leaf_spec(keys)
+            form = re.compile(".*".join(map(re.escape, template.split("*"))))
+            assert all(form.fullmatch(k) and lead + trail <= len(k) for k in keys)
+
+
+def templates_of(spark, lines, chunks=None):
+    b = spark.createDataFrame([(i, f"{i}.pdf", "text", None, line, "s", 0) for i, line in enumerate(lines)], BLOCKS)
+    c = spark.createDataFrame([(f"{i}.pdf", "A", "x") for i in range(len(lines))], CHUNKS)
+    return [r.template for r in line_templates(placed_lines(b, c)).collect()], repeated_lines(b, c)
 
 
 def test_wildcards_and_empty(spark):
-    blocks = [(i, f"{i}.pdf", "text", None, f"风险提示请关注公司{c}的公告内容", "s", 0) for i, c in enumerate("甲乙丙")]
-    b, c = spark.createDataFrame(blocks, BLOCKS), spark.createDataFrame([(f"{i}.pdf", "A", "x") for i in range(3)], CHUNKS)
-    assert [r.template for r in line_templates(body_lines(b), pdf_sources(b, c)).collect()] == ["风险提示请关注公司*的公告内容"]
+    got, found = templates_of(spark, [f"风险提示请关注公司{c}的公告内容" for c in "甲乙丙"])
+    assert got == ["风险提示请关注公司*的公告内容"] and found.count() == 0
+    # slots of unlike length meet in one template, and a place in which the least and the greatest line agree is no constant if a third differs
+    assert templates_of(spark, [f"风险提示请关注{c}的公告内容" for c in ("甲", "乙公司", "丙股份有限")])[0] == ["风险提示请关注*的公告内容"]
+    assert templates_of(spark, ["甲甲甲甲甲甲子丑丁终终", "甲甲甲甲甲甲寅卯丁终终", "甲甲甲甲甲甲辰丑丁终终"])[0] == ["甲甲甲甲甲甲*丁终终"]
+    assert templates_of(spark, ["甲甲甲甲甲甲子丁丑终终", "甲甲甲甲甲甲寅丁卯终终", "甲甲甲甲甲甲辰丁丑终终"])[0] == ["甲甲甲甲甲甲*丁*终终"]
+    b, c = spark.createDataFrame([], BLOCKS), spark.createDataFrame([], CHUNKS)
     assert repeated_lines(b, c).count() == 0
-    assert repeated_lines(b.limit(0), c.limit(0)).count() == 0
