@@ -27,4 +27,4 @@ def test_sql_has_queries():
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns[0] == "query_id"
+    assert entry.entry(spark).columns == ["query_id", "chunk_id", "score"] and entry.entry(spark).count()
