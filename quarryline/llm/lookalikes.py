@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryline.functions.joins import join_small
+
 # Look-alike letters by Unicode. Left what is written, right the Latin letter that it looks like.
 CYRILLIC = dict(zip("АВСЕНІЈКМОРЅТХУҮԚԜаесһіјорѕхуԁԛԝѵӏ", "ABCEHIJKMOPSTXYYQWaechijopsxydqwvl"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυϲϳ", "ABEZHIKMNOPTYXayikvopucj"))
@@ -28,6 +30,10 @@ RADICALS = dict(
 #: Invisible characters besides those of category Cf.
 INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 LATIN_OF = CYRILLIC | GREEK | OTHER
+#: Look-alikes by the script into which they are taken; Cyrillic and Greek take only letters of Latin.
+INTO = {"latin": LATIN_OF, "cyrillic": {v: k for k, v in reversed(CYRILLIC.items())}, "greek": {v: k for k, v in reversed(GREEK.items())}}
+#: Letters that may be mistaken for another script's.
+AMBIGUOUS = set(LATIN_OF) | set(KANA) | set(INTO["cyrillic"]) | set(INTO["greek"])
 #: Decompositions that keep the shape of a letter.
 KEPT_TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>")
 
@@ -63,58 +69,72 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(map(_fold, text))).strip()
 
 
-def repair(folded: str) -> str:
-    """Look-alikes replaced in tokens that mix scripts, or that consist of nothing but look-alikes of Latin letters.
+def _votes(token: str) -> dict[str, tuple[int, int]]:
+    """Script -> (letters that can't be mistaken for another script's, all letters) of a token."""
+    out: dict[str, tuple[int, int]] = {}
+    for c in token:
+        if s := script(c):
+            sure, n = out.get(s, (0, 0))
+            out[s] = (sure + (c not in AMBIGUOUS), n + 1)
+    return out
+
 
-    A token is a stretch without space. Its dominant script is the one with most letters, in which a letter that has a look-alike counts half;
-    look-alikes of the dominant script take its letters: Cyrillic, Greek and others those of Latin, kana those of Chinese.
-    In a token that holds Chinese beside foreign letters both replacements are made, as names join Chinese with Latin letters.
+def repairs(token: str) -> list[str]:
+    """Forms that a token may stand for, the most likely first; none if nothing about it is doubtful.
+
+    A token is a stretch without space. Its dominant script is the one with the most letters that can't be mistaken, then the one with the most letters; letters of other scripts are replaced by
+    look-alikes of the dominant one. Names join Chinese with an alphabet, so the alphabets have a dominant script of their own beside Chinese, and kana go with Chinese. The scripts that don't
+    dominate give further forms, in order of their votes, and so does Latin for a token of nothing but its look-alikes: which form holds is for the vocabulary to say.
     """
+    votes = _votes(token)
+    ranked = sorted(votes, key=lambda s: (votes[s], s == "latin"), reverse=True)
+    alphabets = [s for s in ranked if s not in ("han", "kana", "other")]
+    if len(votes) < 2 and (not votes or any(c not in LATIN_OF for c in token if script(c))):
+        return []
+    if votes.keys() - {"latin", "han", "kana"} and "latin" not in alphabets:
+        alphabets.append("latin")
+    kana_first = votes.get("kana", (0, 0))[1] > votes.get("han", (0, 0))[1]
+    ideographs = ([{}, KANA] if kana_first else [KANA, {}]) if "han" in votes and "kana" in votes else [{}]
     out = []
-    for token in folded.split(" "):
-        votes: dict[str, float] = {}
-        for c in token:
-            if s := script(c):
-                votes[s] = votes.get(s, 0) + (0.5 if c in LATIN_OF or c in KANA else 1.0)
-        alien = {"cyrillic", "greek", "other"} & votes.keys()
-        whole = votes and all(c in LATIN_OF for c in token if script(c))
-        if len(votes) > 1 or whole:
-            if alien and (votes.keys() & {"latin", "han"} or whole or len(alien) > 1):
-                token = "".join(LATIN_OF.get(c, c) for c in token)
-            if "han" in votes:
-                token = "".join(KANA.get(c, c) for c in token)
-        out.append(token)
-    return unicodedata.normalize("NFC", " ".join(out))
+    for marks in ideographs:
+        for target in alphabets or [""]:
+            into = INTO.get(target, {})
+            form = unicodedata.normalize("NFC", "".join(marks.get(c, c) if script(c) == "kana" else c if script(c) == target else into.get(c, c) for c in token))
+            if form != token and form not in out:
+                out.append(form)
+    return out
 
 
-_FORM = T.StructType([T.StructField("folded", T.StringType()), T.StructField("repaired", T.StringType())])
+_FORM = T.StructType([T.StructField("folded", T.StringType()), T.StructField("doubts", T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("forms", T.ArrayType(T.StringType()))])))])
 
 
 @F.pandas_udf(_FORM)
 def forms(s: pd.Series) -> pd.DataFrame:
+    """The folded text, and its doubtful tokens with what they may stand for."""
     folded = [None if x is None else fold(x) for x in s]
-    return pd.DataFrame({"folded": folded, "repaired": [None if x is None else repair(x) for x in folded]})
+    return pd.DataFrame({"folded": folded, "doubts": [[] if x is None else [{"token": t, "forms": r} for t in dict.fromkeys(x.split(" ")) if (r := repairs(t))] for x in folded]})
 
 
 def unify(df: DataFrame, column: str, vocabulary: DataFrame, word: str) -> DataFrame:
     """(value, unified, reads_as): the consistent form of every distinct non-null value of ``column``.
 
-    The folded value counts if it, or else its repaired form, equals the folded form of a word of the vocabulary; ``reads_as`` is that word (of several
-    that fold alike the value itself, else the smallest) and ``unified`` its folded form. Where no word reads the same, ``unified`` is the folded value without
-    replacement of letters, and ``reads_as`` is null. So look-alike letters are replaced only if the result is in the vocabulary.
+    Values are folded; a doubtful token is replaced by the first of its repairs that is a token of the vocabulary, else it stays. ``reads_as`` is the word of the vocabulary
+    whose folded form equals the unified value (of several that fold alike the value itself, else the smallest); where no word reads the same it is null.
 
     Defined cases: null values give no row; a value of nothing but invisible characters folds to an empty string and reads as nothing; repeated values give one row.
-    Both tables are joined on the form, so neither needs to fit a task.
+    Both tables are joined on tokens and forms with hot keys salted, so neither needs to fit a task.
     """
-    words = vocabulary.select(F.col(word).alias("w")).filter("w is not null").distinct().select("w", forms("w").alias("f")).select("w", F.col("f.folded").alias("form")).filter("form <> ''")
-    by_form = words.groupBy("form").agg(F.min("w").alias("word"))
-    values = df.select(F.col(column).alias("value")).filter("value is not null").distinct().withColumn("f", forms("value")).select("value", "f.folded", "f.repaired")
-    a = by_form.select(F.col("form").alias("folded"), F.col("word").alias("word_a"))
-    b = by_form.select(F.col("form").alias("repaired"), F.col("word").alias("word_b"))
+    words = vocabulary.select(F.col(word).alias("w")).filter("w is not null").distinct().select("w", forms("w").alias("f")).select("w", F.col("f.folded").alias("unified")).filter("unified <> ''")
+    by_form = words.groupBy("unified").agg(F.min("w").alias("word"))
+    known = words.select(F.explode(F.split("unified", " ")).alias("form")).distinct()
+    values = df.select(F.col(column).alias("value")).filter("value is not null").distinct().withColumn("f", forms("value")).select("value", "f.folded", "f.doubts")
+    doubtful = values.filter(F.size("doubts") > 0)
+    offered = doubtful.select(F.explode("doubts").alias("d")).select("d.token", F.posexplode("d.forms").alias("at", "form")).distinct()
+    accepted = offered.join(known, "form").groupBy("token").agg(F.min_by("form", "at").alias("form"))
+    repaired = join_small(doubtful.select("value", F.explode(F.transform("doubts", lambda d: d["token"])).alias("token")), accepted, ["token"], ["value"])
+    fixes = repaired.groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("token", "form"))).alias("fix"))
+    whole = values.join(fixes, "value", "left")
+    unified = F.array_join(F.transform(F.split("folded", " "), lambda t: F.coalesce(F.try_element_at("fix", t), t)), " ")
+    joined = join_small(whole.select("value", F.when(F.col("fix").isNull(), F.col("folded")).otherwise(unified).alias("unified")), by_form, ["unified"], ["value"], "left")
     own = words.select(F.col("w").alias("value"), F.lit(True).alias("own"))
-    joined = values.join(a, "folded", "left").join(b, "repaired", "left").join(own, "value", "left")
-    return joined.select(
-        "value",
-        F.when(F.col("word_a").isNotNull() | F.col("word_b").isNull(), F.col("folded")).otherwise(F.col("repaired")).alias("unified"),
-        F.when(F.col("own"), F.col("value")).otherwise(F.coalesce("word_a", "word_b")).alias("reads_as"),
-    )
+    return joined.join(own, "value", "left").select("value", "unified", F.when(F.col("own"), F.col("value")).otherwise(F.col("word")).alias("reads_as"))

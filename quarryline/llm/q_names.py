@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.functions.joins import join_small
 from quarryline.llm.lookalikes import unify
 from quarryline.sources import read_table
 
@@ -17,8 +18,9 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     reports, parts = read_table(spark, root, "all_reports"), []
     for field, register in FIELDS:
         alike = unify(reports, field, read_table(spark, root, register), field).filter("reads_as is not null and reads_as <> value")
-        parts.append(reports.select("report_id", F.col(field).alias("value")).join(alike, "value").select("report_id", F.lit(field).alias("field_name")))
-    return parts[0].unionByName(parts[1]).filter("report_id is not null").distinct()
+        rows = reports.select("report_id", F.col(field).alias("value")).filter("report_id is not null and value is not null")
+        parts.append(join_small(rows, alike.select("value"), ["value"], ["report_id"]).select("report_id", F.lit(field).alias("field_name")))
+    return parts[0].unionByName(parts[1]).distinct()
 
 
 def p7_unified(spark: SparkSession, root: str) -> DataFrame:
@@ -26,7 +28,8 @@ def p7_unified(spark: SparkSession, root: str) -> DataFrame:
     out = read_table(spark, root, "all_reports").select("report_id", "stock_name", "institution").distinct()
     for field, register in FIELDS:
         forms = unify(out, field, read_table(spark, root, register), field)
-        out = out.join(forms.select(F.col("value").alias(field), F.col("unified").alias(f"{field}_unified"), F.col("reads_as").alias(f"{field}_registered")), field, "left")
+        named = forms.select(F.col("value").alias(field), F.col("unified").alias(f"{field}_unified"), F.col("reads_as").alias(f"{field}_registered"))
+        out = join_small(out, named, [field], ["report_id"], "left")
     return out.select("report_id", *(f"{f}{end}" for f, _ in FIELDS for end in ("", "_unified", "_registered")))
 
 
