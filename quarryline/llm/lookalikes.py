@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryline.functions.checkpoints import cut_lineage
 from quarryline.functions.joins import join_small
 
 # Look-alike letters by Unicode. Left what is written, right the Latin letter that it looks like.
@@ -124,10 +125,10 @@ def unify(df: DataFrame, column: str, vocabulary: DataFrame, word: str) -> DataF
     Defined cases: null values give no row; a value of nothing but invisible characters folds to an empty string and reads as nothing; repeated values give one row.
     Both tables are joined on tokens and forms with hot keys salted, so neither needs to fit a task.
     """
-    words = vocabulary.select(F.col(word).alias("w")).filter("w is not null").distinct().select("w", forms("w").alias("f")).select("w", F.col("f.folded").alias("unified")).filter("unified <> ''")
+    words = cut_lineage(vocabulary.select(F.col(word).alias("w")).filter("w is not null").distinct().select("w", forms("w").alias("f")).select("w", F.col("f.folded").alias("unified"))).filter("unified <> ''")
     by_form = words.groupBy("unified").agg(F.min("w").alias("word"))
     known = words.select(F.explode(F.split("unified", " ")).alias("form")).distinct()
-    values = df.select(F.col(column).alias("value")).filter("value is not null").distinct().withColumn("f", forms("value")).select("value", "f.folded", "f.doubts")
+    values = cut_lineage(df.select(F.col(column).alias("value")).filter("value is not null").distinct().withColumn("f", forms("value")).select("value", "f.folded", "f.doubts"))
     doubtful = values.filter(F.size("doubts") > 0)
     offered = doubtful.select(F.explode("doubts").alias("d")).select("d.token", F.posexplode("d.forms").alias("at", "form")).distinct()
     accepted = offered.join(known, "form").groupBy("token").agg(F.min_by("form", "at").alias("form"))

@@ -36,8 +36,8 @@ STATS: tuple[tuple[str, str, float], ...] = (
 #: A squared distance beyond this is no prose: the 0.99 quantile of chi-square with a degree of freedom for each statistic.
 LIMIT = 32.0
 KINDS = ("list", "table", "junk")
-#: Bound of the list of common words, which every task holds.
-MAX_COMMON = 20_000
+#: Chinese common words up to this number are looked for one by one, more by the runs of the text; both count the same.
+FEW_WORDS = 200
 NAMES = tuple(s[0] for s in STATS)
 LEAST = np.array([s[2] for s in STATS])
 
@@ -47,27 +47,56 @@ SPACE = re.compile(r"\s+")
 LATIN_RUN = re.compile("[A-Za-zÀ-ÿ]+")
 SENTENCE_END = re.compile(r"[。！？!?…;；.:：][”’」』）)\"'\]]*$")
 STOP = re.compile(r"[。！？；]|[.!?;](?=\s|$)")
-ENUMERATED = re.compile(r"^\s*(?:[（(\[【]?(?:\d{1,3}(?:\.\d{1,3})*|[A-Za-z]|[ivxIVX]{1,5}|[一二三四五六七八九十百甲乙丙丁]{1,4}|[①-⑳])(?:[）)\]】.、．:：]|\s*[-–]\s|,|\.?\s{1,4}(?=\S))|第[一二三四五六七八九十百\d]+[条章节项款]|[-*•·●▪◆■□◇◦‣–—+>☆★√✓→※]\s*|\d{1,2}月\d{1,2}日)\s*\S")
+#: An item's number or mark; initials of a speaker ("J. Smith:") are none.
+ENUMERATED = re.compile(r"^(?!\s*(?:[A-Z]\.\s?)+[^\W\d_][\w'’-]*(?:\s[^\W\d_][\w'’-]*){0,2}\s*[:：])\s*(?:[（(\[【]?(?:\d{1,3}(?:\.\d{1,3})*|[A-Za-z]|[ivxIVX]{1,5}|[一二三四五六七八九十百甲乙丙丁]{1,4}|[①-⑳])(?:[）)\]】.、．:：]|\s*[-–]\s|,|\.?\s{1,4}(?=\S))|第[一二三四五六七八九十百\d]+[条章节项款]|[-*•·●▪◆■□◇◦‣–—+>☆★√✓→※]\s*|\d{1,2}月\d{1,2}日)\s*\S")
 NUMBER_CELL = re.compile(r"^[\s$¥￥€(（-]*[+\-−]?\d[\d,.]*\s*(?:%|％|[A-Za-z亿万元倍x]{0,4})?[)）]?$|^(?:-+|—+|–|n/?a|N/?A|nan|null|/|\\|:?-{2,}:?|\s*)$")
 #: Encoded text within a token, and dumps of bytes.
 CODE = re.compile(r"0x[0-9A-Fa-f]+|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9A-F]{2}|&#\d+;|(?<![A-Za-z0-9])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{8,}(?![A-Za-z0-9])|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}|\[\d\d:\d\d:\d\d\]|ret=-?\d+;*")
 HEX_DUMP = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{2}(?: [0-9a-fA-F]{2}){3,}(?![0-9A-Za-z])")
-SYMBOL = re.compile(r"[#$%^&*_=+<>~`|\\@{}\[\]/■□◇◆●○▲△▼▽★☆※→←↑↓�]")
+SYMBOL = re.compile(r"[#$%^&*_=+<>~`|\\@{}\[\]■□◇◆●○▲△▼▽★☆※→←↑↓�]")
 LEADERS = re.compile(r"\.{4,}|…{2,}|·{4,}")
 MARK_RUN = re.compile(r"([^\w\s])\1{3,}")
 ASCII_LETTER = re.compile("[A-Za-z]")
 DIGIT = re.compile(r"\d")
 ENTRY = re.compile(r"[\n、;；/|,，]")
-SEPARATORS = tuple(map(re.compile, (r"[|│¦‖]", r"\t", r" {2,}", r";", r",(?! )")))
+#: Signs of which a row has at least two, and the pattern that splits it.
+SEPARATORS = tuple((signs, re.compile(p)) for signs, p in (("|│¦‖", r"[|│¦‖]"), ("\t", r"\t"), (("  ",), r" {2,}"), (";", r";"), (",", r",(?! )")))
 MARK = re.compile(r"[|│¦‖\t; ,]")
 #: Latin letters, digits and signs without a space
 RUN_OR_TOKEN = re.compile(r"[!-~]{8,}")
+#: Without one of these a text holds no encoded piece shorter than a token.
+LEADS = re.compile(r"0x|\\[ux]|%[0-9A-F]|&#|\[\d\d:|ret=")
+#: Scripts that have a prose of their own besides Chinese characters and Latin letters; kana and hangul tell Japanese and Korean from Chinese.
+SCRIPTS = tuple((name, re.compile(f"[{r}]")) for name, r in (("ja", "ぁ-ヺ"), ("ko", "가-힣"), ("ru", "А-Яа-яЁёІіЇїЄє"), ("ar", "ء-ي"), ("el", "Α-Ωα-ωά-ώ"), ("he", "א-ת"), ("th", "ก-๎"), ("hi", "अ-ह")))
 
 
 def language_of(text: str) -> str:
-    """zh or en, by the letters; the field of the table is partly wrong."""
-    han = sum(map(len, HAN_RUN.findall(text)))
-    return "zh" if han * 4 >= sum(map(len, LATIN_RUN.findall(text))) else "en"
+    """The language group, by the letters (the field of the table is partly wrong): zh, ja, ko, ru, ar, el, he, th, hi, or en for Latin letters."""
+    han, latin = sum(map(len, HAN_RUN.findall(text))), sum(map(len, LATIN_RUN.findall(text)))
+    if (han + latin) * 2 < len(text):
+        for name, letters in SCRIPTS:
+            n = len(letters.findall(text))
+            if n > latin and (n * 8 > han if name in ("ja", "ko") else n > han):
+                return name
+    elif han > latin and (kana := len(SCRIPTS[0][1].findall(text))) and kana * 8 > han:
+        return "ja"
+    return "zh" if han * 4 >= latin else "en"
+
+
+def common_letters(text: str, words: list[str]) -> int:
+    """Letters of the text that stand in one of the words, each place and word counted."""
+    if len(words) <= FEW_WORDS:
+        return sum(text.count(w) * len(w) for w in words)
+    known, out = set(words), 0
+    for n in {len(w) for w in words}:
+        last = -n
+        seen: dict[str, int] = {}
+        for i in range(len(text) - n + 1):
+            w = text[i : i + n]
+            if w in known and seen.get(w, last) <= i - n:
+                seen[w] = i
+                out += n
+    return out
 
 
 def _ranges(points: list[int]) -> str:
@@ -88,7 +117,8 @@ def level_one(c: str) -> bool:
         return False
 
 
-RARE = re.compile(f"[{_ranges([n for n in (*range(0x3400, 0x4DC0), *range(0x4E00, 0xA000)) if not level_one(chr(n))])}]")
+#: Runs of rare characters and signs of garbled text; a name may hold one or two rare characters.
+RARE = re.compile(f"[□■◇�{_ranges([n for n in (*range(0x3400, 0x4DC0), *range(0x4E00, 0xA000)) if not level_one(chr(n))])}]{{3,}}")
 #: Signs of text decoded with the wrong table, and private or control characters.
 UNREADABLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x80-\xbfÀ-ÿ\ue000-\uf8ff\ufffd]")
 READABLE_SIGNS = re.compile("[·°±²³µ»«§©®£¥¢]")
@@ -103,13 +133,17 @@ def _unreadable(text: str) -> float:
 
 def _repetition(text: str, width: int = 10, often: int = 5) -> float:
     """Share of the positions at which a run of ``width`` characters starts that stands ``often`` times or more in the text."""
-    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    n = len(points) - width + 1
+    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = len(h) - width + 1
     if n < often:
         return 0.0
-    h = np.zeros(n, np.uint64)
-    for i in range(width):
-        h = h * np.uint64(1_000_003) + points[i : i + n]
+    # hashes of runs of 1, 2, 4 ... characters, and of the whole width from two that overlap
+    size = 1
+    while size * 2 <= width:
+        h = h[:-size] * np.uint64(pow(1_000_003, size, 1 << 64)) + h[size:]
+        size *= 2
+    if size < width:
+        h = h[:n] * np.uint64(0x9E3779B97F4A7C15) + h[width - size :]
     h.sort()
     ends = np.flatnonzero(np.append(h[1:] != h[:-1], True))
     counts = np.diff(ends, prepend=-1)
@@ -121,9 +155,11 @@ def cells_of(line: str) -> list[str]:
     x = line.strip()
     if not MARK.search(x) or LEADERS.search(x):
         return [x]
-    for separator in SEPARATORS:
+    for signs, separator in SEPARATORS:
+        if sum(map(x.count, signs)) < 2:
+            continue
         cells = separator.split(x.strip("|"))
-        if len(cells) > 2 and max(map(len, cells := [c.strip() for c in cells])) <= 32:
+        if len(cells) > 2 and max(map(len, cells := [c.strip() for c in cells])) <= 32 and sum(1 for c in cells if c and (any(map(str.isalnum, c)) or NUMBER_CELL.match(c))) >= 2:
             return cells
     if " " in x:
         cells = x.split(" ")
@@ -132,8 +168,8 @@ def cells_of(line: str) -> list[str]:
     return [x]
 
 
-def statistics(text: str, common: set[str], language: str | None = None) -> list[float]:
-    """The statistics of one text that holds at least one character besides space; the language is told from the text if it isn't given."""
+def statistics(text: str, common: set[str], language: str | None = None, ideographic: list[str] | None = None) -> list[float]:
+    """The statistics of one text that holds at least one character besides space; the language is told from the text and ``ideographic`` (the words of ``common`` that aren't ASCII) from ``common`` if they aren't given."""
     lines = [x for x in text.splitlines() if x.strip()]
     flat = SPACE.sub(" ", text).strip()
     chars = len(flat)
@@ -143,10 +179,10 @@ def statistics(text: str, common: set[str], language: str | None = None) -> list
     others = WORD.findall(flat.lower())
     letters = sum(map(len, others))
     n_words = han + len(others)
-    zh = (language or language_of(text)) == "zh"
+    zh = (language or language_of(text)) in ("zh", "ja", "ko")
     hits = sum(1 for w in others if w in common)
     if zh:
-        hits += sum(flat.count(w) * len(w) for w in common if not w.isascii())
+        hits += common_letters(flat, [w for w in common if not w.isascii()] if ideographic is None else ideographic)
     share = hits / max(1, n_words)
     size = sum(map(len, lines))
     rows = [(len(x), r) for x in lines if len(r := cells_of(x)) > 2]
@@ -158,7 +194,7 @@ def statistics(text: str, common: set[str], language: str | None = None) -> list
     stops = len(STOP.findall(text))
     short = sum(1 for y in entries if len(y.strip()) <= (14 if zh else 34)) / len(entries)
     tokens = RUN_OR_TOKEN.findall(flat)
-    code = sum(map(len, HEX_DUMP.findall(text))) + sum(len(m) for t in tokens for m in CODE.findall(t))
+    code = sum(map(len, HEX_DUMP.findall(text))) + sum(len(m) for t in ([flat] if LEADS.search(flat) else tokens) for m in CODE.findall(t))
     plain = MARK_RUN.sub("", flat)
     bare = sum(len(x.replace(" ", "")) for x in lines if not any(map(str.isalnum, x)))
     return [
@@ -173,7 +209,7 @@ def statistics(text: str, common: set[str], language: str | None = None) -> list
         number_cells,
         enum if len(lines) > 2 else 0.0,
         short * (1 if len(entries) > 5 else len(entries) / 6),
-        len(RARE.findall(text)) / max(1, n_words),
+        sum(map(len, RARE.findall(text))) / max(1, n_words),
         code / chars,
         math.log1p(max(map(len, tokens), default=0)),
         _repetition(plain),
@@ -182,15 +218,14 @@ def statistics(text: str, common: set[str], language: str | None = None) -> list
 
 
 def _stats_frame(documents: DataFrame, key: str, text: str, common: DataFrame) -> DataFrame:
-    words = {r[0] for r in common.select(F.lower("word")).filter("word is not null").distinct().limit(MAX_COMMON + 1).collect()}
-    if len(words) > MAX_COMMON:
-        raise ValueError(f"the list of common words is meant to be short; it has more than {MAX_COMMON}")
+    words = {r[0] for r in common.select(F.lower("word")).filter("word is not null and word <> ''").distinct().collect()}
+    ideographic = sorted(w for w in words if not w.isascii())
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             languages = [language_of(t) for t in b["t"]]
-            yield pd.DataFrame({"k": b["k"], "language": languages, "x": [statistics(t, words, lang) for t, lang in zip(b["t"], languages)]})
+            yield pd.DataFrame({"k": b["k"], "language": languages, "x": [statistics(t, words, lang, ideographic) for t, lang in zip(b["t"], languages)]})
 
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null").filter(F.col("t").rlike(r"[^\p{Z}\s]"))
     return rows.mapInPandas(run, f"k {kind}, language string, x array<double>")
@@ -248,18 +283,22 @@ def fit_prose(stats: DataFrame, rounds: int = 4, limit: float = LIMIT) -> dict[s
     deviations = {r["language"]: np.array([r[f"m{i}"] for i in range(len(NAMES))]) for r in spread.groupBy("language").agg(*columns).collect()}
     center = {lang: (m, np.diag(1 / np.maximum(LEAST, 1.4826 * deviations[lang]) ** 2)) for lang, m in medians.items()}
     for _ in range(rounds):
+        moved = 0.0
         for lang, (n, s, p) in _moments(stats, center, limit).items():
             if n > 1:
                 mu = s / n
+                moved = max(moved, float(np.abs((mu - center[lang][0]) / LEAST).max()))
                 center[lang] = (mu, np.linalg.inv(p / n - np.outer(mu, mu) + np.diag(LEAST**2)))
+        if moved < 0.01:
+            break
     return center
 
 
 def prose_distance(documents: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
     """The squared robust Mahalanobis distance of each document from the prose of its language, with each statistic's contribution.
 
-    A document farther than ``limit`` is no natural prose. Its kind is that of the statistic which lies most steps above prose,
-    a step being the statistic's least spread.
+    A document farther than ``limit`` is no natural prose. Its kind is the one to which most of the distance is due: the contributions of the statistics that point to a kind and lie above
+    prose are summed for each kind. A document that is far for another reason, with nothing above prose, counts as junk.
 
     Defined cases: as in ``text_statistics``; the language is told from the letters, since the field may be null or wrong; a language with
     one document has that document as its prose. Mean and covariance come from all rows; only they (a few hundred numbers) reach the driver.
@@ -277,8 +316,8 @@ def prose_distance(documents: DataFrame, common: DataFrame, key: str = "doc_id",
                 d = np.stack(rows["x"].to_numpy()) - center[lang][0]
                 parts = d * (d @ center[lang][1])
                 distance = parts.sum(1)
-                steps = np.stack([(d / LEAST)[:, kinds == k].max(1) for k in KINDS], 1)
-                kind = np.where(distance > limit, np.array(KINDS)[steps.argmax(1)], "prose")
+                due = np.stack([np.where(d > 0, parts, 0.0)[:, kinds == k].sum(1) for k in KINDS], 1)
+                kind = np.where(distance > limit, np.where(due.max(1) > 0, np.array(KINDS)[due.argmax(1)], "junk"), "prose")
                 yield pd.DataFrame({key: rows["k"], "language": lang, "distance": distance, "contributions": [dict(zip(NAMES, p)) for p in parts.tolist()], "kind": kind})
 
     return stats.mapInPandas(run, f"`{key}` {type_of}, language string, distance double, contributions map<string,double>, kind string")

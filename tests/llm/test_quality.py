@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from quarryline.llm.quality import LEAST, LIMIT, NAMES, _moments, fit_prose, language_of, prose_distance, statistics, text_statistics
+from quarryline.llm.quality import LEAST, LIMIT, NAMES, _moments, common_letters, fit_prose, language_of, prose_distance, statistics, text_statistics
 
 COMMON = ["的", "是", "在", "和", "了", "公司", "the", "of", "and", "to", "is", "was"]
 
@@ -65,6 +65,33 @@ def test_languages_and_statistics():
     assert len(statistics("x", set())) == len(NAMES) and all(np.isfinite(statistics("。", set())))
 
 
+def test_dialogue_is_prose_and_a_log_is_junk():
+    talk = "\n".join(f"{'JKLM'[i % 4]}. {'Smith Doe Roe'.split()[i % 3]}: The orders of the group rose by {i}% last year, and the margin was stable." for i in range(8))
+    log = "\n".join(f"[12:0{i}:13] ERR 0x{i}C97B975 ret=3{i};;@@@@" for i in range(9))
+    by = dict(zip(NAMES, statistics(talk, set(COMMON))))
+    assert by["enumerated_lines"] == 0 and by["table_rows"] == 0
+    by = dict(zip(NAMES, statistics(log, set(COMMON))))
+    assert by["table_rows"] == 0 and by["code_tokens"] > 0.3
+    assert dict(zip(NAMES, statistics("a. one\nb. two\nc. three", set())))["enumerated_lines"] == 1
+
+
+def test_short_encoded_pieces_count():
+    for text in ("\\u4e2d 和 \\u56fd", "%E4 %B8 %AD", "0x1F 0x2A", "\\xe4 \\xb8"):
+        assert dict(zip(NAMES, statistics(text, set())))["code_tokens"] > 0.5
+
+
+def test_languages_have_a_prose_of_their_own():
+    got = [language_of(x) for x in ("Выручка компании выросла на 5%", "売上高は前年から増加しました", "매출은 지난해보다 늘었다", "ارتفعت الإيرادات", "Τα έσοδα αυξήθηκαν", "Ventes en hausse", "收入增长", "###")]
+    assert got == ["ru", "ja", "ko", "ar", "el", "en", "zh", "zh"]
+
+
+def test_common_words_of_any_number_count_alike():
+    words = ["的", "公司", "我们", "们的"]
+    many = words + [f"词{i}{j}" for i in range(20) for j in range(20)]
+    for text in ("我们的公司的公司", "的的的", "", "x" * 9):
+        assert common_letters(text, words) == common_letters(text, many)
+
+
 def test_empty(table):
     docs, common = table
     assert prose_distance(docs.limit(0), common.limit(0)).count() == 0 and text_statistics(docs.limit(0), common).columns == ["doc_id", "language", *NAMES]
