@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,24 +23,31 @@ SAMPLE_ROWS, SEED = 3_000, 7
 
 # Cues and words of languages.
 PLACEHOLDER = re.compile(r"^[\W_]*(?:n/?a|null|none|nan|nil|tbd|todo|undefined|empty|待补充|待定|暂无|暂缺|无|略|占位|placeholder)[\W_]*$", re.I)
+_ZH_ACT = "(?:回答|作答|答复|解答|回应|提供|给出|透露|披露|讨论|谈论|谈|评论|评价|判断|建议|推荐|协助|帮|满足|处理|受理|说|讲|展开|从命|奉告|表态|发表|查询)"
+_EN_ACT = r"(?:answer|help|assist|provide|share|discuss|comment|talk|speak|say|respond|recommend|advise|judge|tell|disclose|reveal|offer|give|do (?:so|that|this)|go into|that|this|it)"
+#: Cues of declining, by kind: a refused act, an apology, the speaker's role or rules (Chinese; English); the first person; declining in other languages. Any of them may stand in a true answer.
 CUES = tuple(
     re.compile(p, re.I)
     for p in (
-        r"无法(?:回答|提供|作答|满足|协助|帮助|给出|讨论|处理)|不能(?:回答|提供|满足|给出|对|讨论|协助|透露)|恕|难以?从命|不便|拒绝|爱莫能助|没有(?:权限|资格|办法)|无权|无可奉告|不予|不作(?:评论|答复|回应)|不做(?:评论|评价)|略去答复|帮不上|不说了|不(?:方便|适合|宜|打算|会|想|愿)(?:回答|谈|说|评|讨论|提供|透露)|不在.{0,12}范围|选择(?:不|沉默|回避)|保持沉默|跳过",
-        r"抱歉|对不起|很遗憾|不好意思",
-        r"语言模型|人工智能|合规|敏感|违反|政策|持牌|专业人士|规则|规定|禁止|谅解|见谅|换个?话题|换一个|只是一个|程序|助手|超出.{0,12}范围|只处理",
-        r"\b(?:sorry|apologi[sz]e|unfortunately)\b",
-        r"\b(?:can(?:no|')t|can not|unable to|not able to|not allowed|not permitted|must decline|decline to|refuse|won't|will not be able|rather not|prefer not|not (?:be )?appropriate|not in a position|no comment|refrain|off.limits|withhold|must (?:leave|skip|pass)|have to (?:pass|decline|skip)|don't (?:discuss|comment|answer|talk))\b",
-        r"\b(?:language model|as an ai|assistant|this request|help with (?:that|this)|policy|guidelines|comment on|adviser|advisor|outside (?:my|the) |beyond (?:my|the) scope|rules|permitted|another topic|something else)\b",
+        rf"(?:无法|没法|没办法|不能|不可以|不便|不宜|不会|不想|不愿|不打算|不方便|不适合|暂不|难以?|恕|恕不|拒绝|谢绝|婉拒|选择不|没有?(?:权限|资格|办法|能力|立场)|无权|不予|不作|不做)[^，。；！？\d]{{0,10}}?{_ZH_ACT}|爱莫能助|无可奉告|沉默|(?:略去|略过|跳过|回避|避开)|不[^，。\d]{{0,2}}说了|帮不上|不(?:在|属于)[^，。]{{0,16}}(?:范围|职责|范畴)|超出[^，。\d]{{0,14}}(?:范围|能力|权限|职责)",
+        r"抱歉|对不起|遗憾|不好意思|(?:见|体|原)谅|谅解",
+        r"语言模型|人工智能|机器人|程序|助手|合规|敏感|违反|政策|规则|规定|准则|持牌|专业人士|禁止|不允许|换(?:个|一个|一下)?[^，。]{0,2}(?:话题|问题)|只(?:是|能|处理|回答|负责|受理)|范围|请咨询",
+        r"\b(?:sorry|apologi[sz]e|unfortunately|regret|afraid)\b",
+        rf"\b(?:can(?:no|')t|can not|couldn't|could not|unable to|not able to|not allowed|not permitted|won't|will not|wouldn't|would not|do not|don't|mustn't|must not|decline|refuse|rather not|prefer not|not going to|refrain|withhold|must (?:leave|skip|pass|decline)|have to (?:leave|skip|pass|decline))\b.{{0,40}}?\b{_EN_ACT}\b|no comment|off.limits|not (?:be )?appropriate|inappropriate|not in a position|\b(?:outside|beyond) (?:my|our|the)\b|\bpass on (?:it|this|that)",
+        r"\b(?:language model|as an ai|assistant|this request|this question|policy|guidelines|advis[eo]r|remit|scope|rules|permit(?:ted)?|another (?:topic|question)|something else)\b",
         r"我(?!们|国|司)|\b(?:I|I'm|I'd|I'll|me|my)\b",
-        r"désolé|je ne peux|ne suis pas|leider|kann ich nicht|nicht beantworten|lo siento|no puedo|申し訳|できません|お答え|죄송|수 없습니다|не могу|извините",
+        r"désolé|regrette|ne (?:peux|puis|suis|pouvons) pas|leider|(?:kann|darf|möchte)\b.{0,40}\b(?:nicht|keine)|tut mir leid|lo siento|lamento|no (?:puedo|podemos|es posible)|申し訳|できません|できかね|控え(?:させ|ます)|お答え|죄송|수 없|어렵습니다|не могу|не можем|извините|к сожалению|non posso|mi dispiace|não posso|desculpe",
     )
 )
 POLITE = re.compile(r"感谢|祝您|建议您|欢迎|如有(?:其他|任何)|谢谢|请咨询|您可以换|请换|thank|please (?:consult|feel|let)|let me know|feel free|good luck", re.I)
-ASKED = re.compile(r"^(?:好的|您问的是|您的问题是|你问的是|问题|回答|关于|答|you asked|the question is|your question|question|answer|regarding)", re.I)
+ASKED = re.compile(r"^(?:好[的，]?|您?[的你]?(?:问|提问|问题|想(?:问|知道))|回答|关于|答|you (?:asked|want)|(?:the|your) question|question|answer|regarding|about)", re.I)
 WANTED = ((re.compile(r"用英[文语]|英[文语](?:回答|作答)|in english", re.I), "en"), (re.compile(r"用[中汉][文语]|[中汉][文语](?:回答|作答)|in chinese", re.I), "zh"), (re.compile(r"用日[文语]|in japanese", re.I), "ja"), (re.compile(r"用法[文语]|in french", re.I), "fr"), (re.compile(r"用德[文语]|in german", re.I), "de"), (re.compile(r"用韩[文语]|in korean", re.I), "ko"))
 EN = set("the of and to in is that for with a at by was were it as on which will would has have its than since from this there be but we our are not or an up about last i you can't sorry can".split())
-ROMANCE = set("le la les de des du et un une est en que pour dans sur avec el los las del por con se y al der die das und ist von zu mit den im auf ein eine für sich nicht il di che non per o os da do em um uma na no atteint attend marge chiffre umsatz jahr liegt ingresos margen alcanzan empresa".split())
+#: Frequent short words of European languages other than English (French, Spanish, German, Italian, Portuguese, Dutch, Polish, Czech, Swedish, Danish, Turkish, Romanian, Indonesian, Vietnamese).
+OTHER_WORDS = set(
+    "le la les de des du et un une est que pour dans sur avec plus par pas qui sont el los las del por con se y al su es más como der die das und ist von zu mit den im auf ein eine für sich nicht auch wird werden bei il di che non per della sono più o os da do em uma na com não para het een van dat niet zijn voor met "
+    "w z na się nie jest do że oraz przez od po je se že na pro som och att av är det ikke til bir ve bu için olarak și din care pentru yang dan untuk dengan của và là cho".split()
+)
 TERMINAL = re.compile(r"[。！？!?…]$|[.!?。！？…][”\"'」』）)\]]+$|[）)」』”]$")
 DOT = re.compile(r"\.$")
 UNIT = re.compile(r"(?:[\d.](?:亿元|万元|元|%|％|倍|家|人|个月|个百分点|天|次|吨|条|年|月|日| ?bn| ?million| ?times)|\|)$")
@@ -62,7 +71,7 @@ def language(text: str) -> str:
     if rest > max(han, latin):
         return "other"
     if latin > 3.5 * han:
-        en, other = sum(w in EN for w in words), sum(w in ROMANCE for w in words) + sum(any(c > "~" for c in w) for w in words)
+        en, other = sum(w in EN for w in words), sum(w in OTHER_WORDS and w not in EN for w in words) + sum(any(c > "~" for c in w) for w in words)
         return "other" if other > en else "en"
     return "zh"
 
@@ -132,20 +141,42 @@ def features(question: str, parts: list[str], answer: str) -> np.ndarray:
     return np.array(out)
 
 
-# ---- training sequences
-_REFUSALS = (
-    "抱歉，我无法回答这个问题。", "对不起，我不能提供这方面的信息。", "您的问题涉及敏感信息，恕难从命。", "出于合规考虑，相关内容不便提供。", "作为一个语言模型，我不能对个股发表看法，请咨询持牌人士。", "对不起，我没有权限讨论公司的情况。", "很遗憾，这一请求恕不能满足。",
-    "我只是一个程序，没有资格判断公司的{m}。", "关于公司的{m}，我选择不作评论。", "此处略去答复，因为规则禁止我谈论{m}。", "该话题不在我可以协助的范围内，请谅解。", "这类内容需要专业人士来答，我就不说了。", "这个请求我暂时帮不上忙，换个话题吧。", "我不方便谈论{m}，请见谅。", "按照规定，我对{m}保持沉默。", "恕我不能就{m}发表意见。", "此类问题我不会回答，请换一个问题。",
-    "I'd rather not answer that; please ask an adviser.", "It would not be appropriate for me to comment on {m}.", "My rules do not permit me to talk about {m}.", "That is outside my remit, so I will pass on it.", "I have to skip this one; try another topic.", "I am not in a position to judge {m}.", "No comment from me on {m}.",
-    "这个问题超出了我的范围，我无法作答。", "Sorry, I can't help with that.", "I'm sorry, but I cannot answer this question.", "Unfortunately that is something I must decline to do.", "As a language model I am not able to discuss individual companies.", "I am unable to assist with this request.", "Désolé, je ne peux pas répondre à cette question.", "Das kann ich leider nicht beantworten.", "申し訳ありませんが、お答えできません。", "죄송하지만 답변할 수 없습니다.",
+# ---- training sequences: refusals, foreign answers and introductions put together from parts
+_ZH_REFUSAL = (
+    ("{sorry}{why}{who}{neg}{act}{what}{end}", "{what}超出了{who}的能力范围{end}", "{sorry}{what}不属于可以{act}的范围{end}", "关于{what}，{who}选择不{act}{end}", "{why}{what}就先略过{end}", "对于{what}，恕{neg}{act}{end}", "{sorry}这一点{who}帮不上忙{end}", "{what}还是请专业人士来{act}{end}"),
+    {
+        "sorry": ("", "", "抱歉，", "对不起，", "很遗憾，", "不好意思，"), "why": ("", "", "根据使用规则，", "出于安全考虑，", "因为涉及敏感内容，", "按照政策，", "作为人工智能助手，"), "who": ("我", "我", "本助手", "我这边", "这里"),
+        "neg": ("无法", "不能", "没办法", "不便", "难以", "不会", "不打算", "没有资格", "暂时不能", "拒绝"), "act": ("回答", "提供", "讨论", "评论", "谈论", "给出", "判断", "解答"),
+        "what": ("这个问题", "相关内容", "这类信息", "{m}", "关于{m}的看法", "此类请求", "这方面的数据", "您的要求"), "end": ("。", "。", "，请谅解。", "，请换一个问题。", "，还请咨询专业人士。", "，望您体谅。", "！"),
+    },
+)
+_EN_REFUSAL = (
+    ("{sorry}I {neg} {act} {what}{end}", "{what} is outside my scope{end}", "{sorry}as an assistant I {neg} {act} {what}{end}", "Under my rules I {neg} {act} {what}{end}", "No comment on {what}{end}", "I would rather not {act} {what}{end}", "It is not appropriate for me to {act} {what}{end}", "I have to decline to {act} {what}{end}"),
+    {
+        "sorry": ("", "", "Sorry, ", "I'm sorry, but ", "Unfortunately, ", "I regret that "), "neg": ("cannot", "can't", "am unable to", "am not able to", "won't", "must decline to", "am not permitted to", "do not wish to"),
+        "act": ("answer", "discuss", "comment on", "help with", "talk about", "give a view on", "share"), "what": ("this question", "that", "this topic", "{m}", "this request", "such matters", "the company"), "end": (".", ".", "; please ask a professional.", ", so try another topic.", "."),
+    },
 )
-_POLITE = ("感谢理解！", "祝您投资顺利。", "建议您查阅公司公告。", "如有其他问题，欢迎继续提问。", "Thank you for your understanding.", "Please consult a licensed adviser.", "")
+_OTHER_REFUSALS = (
+    "Je regrette, mais je ne suis pas en mesure d'en parler.", "Dazu darf ich keine Auskunft geben.", "Tut mir leid, darüber kann ich nicht sprechen.", "Lamento no poder ayudar con este tema.", "その件についてはお話しできません。", "恐れ入りますが、回答は控えさせていただきます。", "해당 내용은 말씀드리기 어렵습니다.", "Извините, я не могу это обсуждать.",
+)
+_POLITE = ("谢谢您的理解。", "欢迎提出别的问题。", "您可以查阅公开资料。", "Thanks for understanding.", "Please feel free to ask something else.", "", "")
 _FOREIGN = (
-    "Le chiffre d'affaires atteint {} milliards et la marge {} %.", "La direction attend une reprise des commandes.", "Der Umsatz liegt bei {} Milliarden und die Marge bei {} %.", "Das Unternehmen erwartet im nächsten Jahr mehr Aufträge.", "Los ingresos alcanzan {} millones y el margen es del {} %.", "La empresa espera una recuperación de los pedidos.",
-    "売上高は{}億元で、利益率は{}%でした。", "受注は来年から回復する見込みです。", "매출은 {}억 위안이며 이익률은 {}%입니다.", "내년부터 수주가 회복될 전망입니다.", "Выручка составила {} млрд, маржа {} %.", "Компания ожидает роста заказов.",
+    "Les ventes ont progressé de {} % pendant le trimestre.", "Nous prévoyons une hausse de {} % pour la suite.", "Die Erlöse stiegen um {} Prozent gegenüber dem Vorquartal.", "Wir rechnen mit einer besseren Lage im Frühling.", "Las ventas subieron un {} % durante el trimestre.", "Se espera que los costes bajen en primavera.",
+    "売上は前年より{}%増えました。", "来期は改善すると考えています。", "판매는 지난해보다 {}% 늘었습니다.", "다음 분기에는 좋아질 것으로 보입니다.", "Продажи выросли на {} % за квартал.", "Мы ожидаем, что затраты снизятся весной.", "Le vendite sono aumentate del {} % nel trimestre.", "As vendas cresceram {} % no período e a empresa não espera mudanças.", "Sprzedaż wzrosła o {} % w tym kwartale, a koszty nie zmieniły się.",
+)
+#: True answers that hold words of declining.
+_HEDGED = (
+    "公告没有写明这个数字，因此不能直接引用，但按{m}折算约为{n}%。", "抱歉回复晚了，{m}为{n}%。", "遗憾的是{m}只有{n}亿元，低于目标。", "口径有变，难以与去年比较，不过{m}约{n}亿元。", "董事会拒绝了对方{n}亿元的报价。", "新规定使{m}减少{n}%。", "管理层不愿透露细节，只说{m}约为{n}%。",
+    "Sorry about the delay: {m} was {n} bn.", "The report does not give it and I could not find it directly, but it works out at about {n}%.", "Unfortunately {m} fell by {n}%.", "The board refused an offer of {n} bn.",
 )
-_HEDGED = ("年报没有直接给出该数值，无法直接查到，但可由{m}推算，约为{n}%。", "抱歉让您久等，结果如下：{m}为{n}%。", "很遗憾，第三季度{m}未达预期，仅为{n}亿元。", "由于口径变化，无法与上年直接比较，但{m}约为{n}亿元。", "Sorry for the wait: {m} came to {n} bn.", "The filing does not state it and we can't look it up directly, but from {m} it is about {n}%.", "公司拒绝了{n}亿元的收购要约。", "监管政策变化使{m}下降{n}%。")
-_INTROS = ("您问的是：{}", "问题：{}\n回答：", "好的，关于“{}”。", "您的问题是：{}", "You asked: {} ", "The question is: {} ", "{}")
+_INTROS = ("您想知道：{}", "提问：{}\n答：", "好，关于“{}”，", "您的问题是“{}”", "你问的是：{}", "You want to know: {} ", "Question: {}\nAnswer: ", "The question was: {} ", "{}")
+
+
+def _composed(r: random.Random, grammar: tuple, m: str) -> str:
+    forms, parts = grammar
+    text = r.choice(forms).format(**{k: r.choice(v) for k, v in parts.items()}).format(m=m)
+    return text[:1].upper() + text[1:]
 
 
 def _reworded(r: random.Random, q: str) -> str:
@@ -178,10 +209,12 @@ def training_sequences(pairs: list[tuple[str, str]], seed: int = SEED) -> Iterat
             extra = r.choice([f"1. {metric}：{number()}亿元，环比增长{number()}%\n2. {metric}：{number()}亿元，同比下降{number()}%", f"约{number()}亿元", f"\n| 年份 | {metric} |\n|---|---|\n| 2024 | {number()} |"]) if r.random() < 0.3 and language(a) == "zh" else ""
             text = intro + hedge + a + extra if intro or hedge or r.random() < 0.7 or not extra else extra
             yield q, text, [ECHO if k < len(clauses(intro)) else ANSWER for k in range(len(clauses(text)))]
-        elif kind < 0.48:
-            text = r.choice(_REFUSALS).format(m=r.choice([metric, "公司", "the company"])) + r.choice(_POLITE)
+        elif kind < 0.5:
+            named = r.choice([metric, "公司" if language(q) == "zh" else "the company"])
+            way = r.random()
+            text = (_composed(r, _ZH_REFUSAL, named) if way < 0.5 else _composed(r, _EN_REFUSAL, named) if way < 0.85 else r.choice(_OTHER_REFUSALS)) + r.choice(_POLITE)
             yield q, text, [REFUSAL] * len(clauses(text))
-        elif kind < 0.6:
+        elif kind < 0.61:
             text = r.choice(_INTROS).format(_reworded(r, q)) + (_reworded(r, q) if r.random() < 0.4 else "")
             yield q, text, [ECHO] * len(clauses(text))
         elif kind < 0.72:
@@ -242,6 +275,29 @@ def defect(question: str, answer: str | None, model: LinearChain, may_refuse: bo
     return None
 
 
+class Kinds:
+    """Naive Bayes over pairs of characters: whether a question is one to decline, learned from questions with a type."""
+
+    WIDTH = 1 << 14
+
+    def __init__(self, questions: list[str], rejected: list[bool]):
+        counts = np.full((2, self.WIDTH), 0.5)
+        classes = np.ones(2)
+        for q, y in zip(questions, rejected):
+            counts[int(y), self._at(q)] += 1
+            classes[int(y)] += 1
+        self.weights = np.log(counts[1] / (classes[1] + 1)) - np.log(counts[0] / (classes[0] + 1))
+        self.prior = math.log(classes[1] / classes[0]) if any(rejected) else -math.inf
+
+    def _at(self, question: str) -> list[int]:
+        return sorted({zlib.crc32(b.encode("utf-8", "surrogatepass")) % self.WIDTH for b in _bigrams(question)})
+
+    def rejects(self, question: str) -> bool:
+        """The evidence of the pairs is divided by the root of their number, as they depend on one another."""
+        at = self._at(question)
+        return bool(at) and self.prior + self.weights[at].sum() / math.sqrt(len(at)) > 0
+
+
 def _pairs(samples: DataFrame) -> DataFrame:
     """(k, type, q, a, answered): id, type, question, and the last message if it answers."""
     last = F.try_element_at("messages", F.lit(-1))
@@ -254,24 +310,25 @@ def _pairs(samples: DataFrame) -> DataFrame:
 def broken_pairs(samples: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(sample_id, defect) of every pair that is broken.
 
-    The tagger is trained on ``sample_rows`` rows (those with the least hash of their id; the bound of the sample) and on answers broken on purpose;
-    all rows are then tagged whole. A refusal is right where the question's type is ``reject``; where the type is null, if questions that end alike are of that type.
+    The tagger is trained on ``sample_rows`` rows (those with the least hash of their id; the bound of the sample) and on answers broken on purpose; all rows are then tagged whole.
+    A refusal is right where the question's type is ``reject``; where the type is null, if a classifier of the questions, learned from the types of the same sample, says so.
 
     Defined cases: null ids and null or empty message lists give no row; without a user message the question is empty; a null, blank or missing answer is empty.
     Repeated rows give one result. Further columns are ignored; an empty table gives no rows.
     """
     rows = spread(_pairs(samples), "k").distinct()
-    drawn = rows.filter("q is not null and length(a) > 15").orderBy(F.xxhash64("k"), "k").limit(sample_rows).select("q", "a").collect()
-    model = rows.sparkSession.sparkContext.broadcast(train([(r["q"], r["a"]) for r in drawn]))
-    ending = F.expr("right(q, 6)")
-    kinds = rows.filter("type is not null and q is not null").groupBy(ending.alias("ending")).agg((F.avg((F.col("type") == "reject").cast("int")) > 0.5).alias("rejected")).filter("rejected")
-    # rows with a type join with nothing, each under a key of its own
-    typed = rows.withColumn("ending", F.when(F.col("type").isNull(), ending).otherwise(F.concat(F.lit("\x01"), F.col("k").cast("string")))).join(kinds, "ending", "left")
-    typed = typed.select("k", "q", "a", (F.coalesce(F.col("type") == "reject", F.lit(False)) | F.coalesce("rejected", F.lit(False))).alias("may_refuse"))
+    drawn = rows.filter("q is not null").orderBy(F.xxhash64("k"), "k").limit(sample_rows).select("q", "a", "type").collect()
+    typed = [r for r in drawn if r["type"] is not None]
+    models = rows.sparkSession.sparkContext.broadcast((train([(r["q"], r["a"]) for r in drawn if r["a"] and len(r["a"]) > 15]), Kinds([r["q"] for r in typed], [r["type"] == "reject" for r in typed])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tagger, kinds = models.value
         for b in batches:
-            found = [(k, defect(q or "", a, model.value, m)) for k, q, a, m in zip(b["k"], b["q"], b["a"], b["may_refuse"])]
-            yield pd.DataFrame([x for x in found if x[1]], columns=["sample_id", "defect"])
-
-    return typed.mapInPandas(run, f"sample_id {samples.schema['sample_id'].dataType.simpleString()}, defect string")
+            out = []
+            for k, q, a, t in zip(b["k"], b["q"], b["a"], b["type"]):
+                x = defect(q or "", a, tagger, t == "reject")
+                if x and not (x == "refusal" and t is None and kinds.rejects(q or "")):
+                    out.append((k, x))
+            yield pd.DataFrame(out, columns=["sample_id", "defect"])
+
+    return rows.mapInPandas(run, f"sample_id {samples.schema['sample_id'].dataType.simpleString()}, defect string")
