@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import bigram_overlap, strip_u
@@ -57,9 +57,17 @@ def split_thought(content: Column, starters: Sequence[str] = ("根据", "综合"
     return F.when((F.size(parts) > 1) & begins, F.struct(strip_u(parts[0]).alias("thought"), rest.alias("answer"))).otherwise(F.struct(F.lit(None).cast("string").alias("thought"), content.alias("answer")))
 
 
+def latest_samples(samples: DataFrame, key: str = "sample_id", version: str = "created_at") -> DataFrame:
+    """One row of each id: the latest, of equally late ones (or without a version) the one with the least hash; rows without an id are left out."""
+    rows = samples.filter(F.col(key).isNotNull())
+    when = [F.desc(version)] if version in samples.columns else []
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*when, F.xxhash64(*samples.columns)))
+    return rows.withColumn("_at", at).filter("_at = 1").drop("_at")
+
+
 def steps_of(samples: DataFrame, key: str = "sample_id", messages: str = "messages") -> DataFrame:
     """(key, step_no, tool, query, observation, thought): one row a call, in order, with the tool message that answers it; several calls of a message are steps of their own."""
-    unique = samples.filter(F.col(key).isNotNull() & F.col(messages).isNotNull()).dropDuplicates([key])
+    unique = latest_samples(samples.filter(F.col(messages).isNotNull()), key)
     calls = F.flatten(F.transform(F.col(messages), lambda m: F.transform(F.coalesce(m["tool_calls"], F.array().cast("array<struct<id:string,call_type:string,func:struct<name:string,arguments:string>>>")), lambda c: F.struct(c["id"].alias("id"), c["func"]["name"].alias("tool"), c["func"]["arguments"].alias("arguments"), m["content"].alias("thought")))))
     answers = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.filter(F.col(messages), lambda m: m["role"] == "tool"), lambda m: F.coalesce(m["tool_call_id"], F.lit("")))), lambda i: F.struct(i.alias("k"), F.try_element_at(F.filter(F.col(messages), lambda m: (m["role"] == "tool") & (F.coalesce(m["tool_call_id"], F.lit("")) == i)), F.lit(1))["content"].alias("v"))))
     rows = unique.select(key, answers.alias("_a"), F.posexplode(calls).alias("_i", "_c"))
@@ -109,7 +117,7 @@ def validate(samples: DataFrame, tools: Sequence[str], most_steps: int = 6, grou
     Checks: a question, an answer, known tools, an observation for each step, one to ``most_steps`` steps, at least the share ``grounded`` of the answer's numbers in
     observations (not for questions to be rejected), and operands above 10 of calculations in earlier observations.
     """
-    one = samples.filter("sample_id is not null").dropDuplicates(["sample_id"]).select("sample_id", "question", "question_type", F.try_element_at("messages", F.lit(-1))["content"].alias("answer"))
+    one = latest_samples(samples).select("sample_id", "question", "question_type", F.try_element_at("messages", F.lit(-1))["content"].alias("answer"))
     grouped = steps_of(samples).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("step_no", "tool", "query", "observation"))).alias("steps"))
     rows = one.join(grouped, "sample_id", "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<struct<step_no:int,tool:string,query:string,observation:string>>")))
     seen = numbers_in(F.array_join(F.transform("steps", lambda s: F.coalesce(s["observation"], F.lit(""))), " "))

@@ -125,7 +125,7 @@ def question_types(spark: SparkSession, root: str) -> DataFrame:
 
 def rendered_chats(spark: SparkSession, root: str) -> DataFrame:
     """Conversations as one text each, with what the assistant wrote."""
-    rows = read_table(spark, root, "sft_data").filter("sample_id is not null and messages is not null").dropDuplicates(["sample_id"]).select("sample_id", T.render_chat(F.col("messages")).alias("chat"))
+    rows = T.latest_samples(read_table(spark, root, "sft_data").filter("messages is not null")).select("sample_id", T.render_chat(F.col("messages")).alias("chat"))
     spans = T.assistant_spans(F.col("chat"))
     return rows.select("sample_id", F.md5("chat").alias("chat_hash"), F.length("chat").alias("n_chars"), F.size(spans).alias("n_spans"), F.aggregate(spans, F.lit(0), lambda a, s: a + s["end"] - s["start"]).alias("generated"))
 
@@ -153,7 +153,7 @@ def step_scores(spark: SparkSession, root: str) -> DataFrame:
 
 def sample_scores(spark: SparkSession, root: str) -> DataFrame:
     """Scores of each trajectory: calculations, declining, penalties and length, and their total."""
-    samples = read_table(spark, root, "sft_data").filter("sample_id is not null").dropDuplicates(["sample_id"])
+    samples = T.latest_samples(read_table(spark, root, "sft_data"))
     one = samples.select("sample_id", "question", "question_type", F.try_element_at("messages", F.lit(-1))["content"].alias("answer"))
     grouped = T.steps_of(samples).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("step_no", "tool", "query", "observation"))).alias("steps"))
     steps = F.coalesce("steps", F.array().cast("array<struct<step_no:int,tool:string,query:string,observation:string>>"))
@@ -228,14 +228,14 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DE
     "year_boosted": "WITH " + _C + ", h AS (SELECT DISTINCT query_id, query_text, chunk_id FROM search_hits WHERE query_id IS NOT NULL) SELECT query_id, chunk_id, CASE WHEN list_contains(regexp_extract_all(query_text, '20\\d\\d'), year(day)::VARCHAR) THEN 0.01 ELSE 0 END AS boost, round(coalesce(0.4 * exp(-0.693 * greatest(date_diff('day', day, DATE '2026-06-30'), 0) / 365.0), 0), 6) AS bonus FROM h JOIN c USING (chunk_id)",
     "interleaved": _S + ", " + _C + ", m AS (SELECT query_id, chunk_id, retriever, rank, text[1:100] AS head, (retriever = 'bm25')::INT AS l FROM k JOIN c USING (chunk_id) WHERE retriever IN ('dense', 'bm25')), o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, head ORDER BY rank, l) = 1) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, l) AS position, chunk_id, retriever FROM o QUALIFY position <= 10",
     "tool_steps": """
-WITH s AS (SELECT sample_id, any_value(messages) AS ms FROM sft_data WHERE sample_id IS NOT NULL AND messages IS NOT NULL GROUP BY 1),
+WITH s AS (SELECT sample_id, arg_max(messages, created_at) AS ms FROM sft_data WHERE sample_id IS NOT NULL AND messages IS NOT NULL GROUP BY 1),
 m AS (SELECT sample_id, i, ms[i] AS x FROM s, unnest(range(1, len(ms) + 1)) u(i)),
 c AS (SELECT sample_id, i, j, x.tool_calls[j] AS c FROM m, unnest(range(1, len(x.tool_calls) + 1)) v(j)),
 t AS (SELECT sample_id, coalesce(x.tool_call_id, '') AS id, arg_min(x.content, i) AS observation FROM m WHERE x.role = 'tool' GROUP BY 1, 2)
 SELECT c.sample_id, row_number() OVER (PARTITION BY c.sample_id ORDER BY i, j) AS step_no, c.c.func.name AS tool, coalesce(json_extract_string(c.c.func.arguments, '$.query'), json_extract_string(c.c.func.arguments, '$.expression'), c.c.func.arguments) AS query, observation
 FROM c LEFT JOIN t ON t.sample_id = c.sample_id AND t.id = coalesce(c.c.id, '')""",
     "rendered_chats": """
-WITH s AS (SELECT sample_id, any_value(messages) AS ms FROM sft_data WHERE sample_id IS NOT NULL AND messages IS NOT NULL GROUP BY 1),
+WITH s AS (SELECT sample_id, arg_max(messages, created_at) AS ms FROM sft_data WHERE sample_id IS NOT NULL AND messages IS NOT NULL GROUP BY 1),
 m AS (SELECT sample_id, i, len(ms) AS n, ms[i] AS x, ms[i - 1].role AS before, ms[i + 1].role AS after FROM s, unnest(range(1, len(ms) + 1)) u(i)),
 c AS (SELECT sample_id, i, string_agg(chr(10) || '<tool_call>' || chr(10) || '{"name": "' || x.tool_calls[j].func.name || '", "arguments": ' || x.tool_calls[j].func.arguments || '}' || chr(10) || '</tool_call>', '' ORDER BY j) AS calls FROM m, unnest(range(1, len(x.tool_calls) + 1)) v(j) GROUP BY 1, 2),
 t AS (SELECT m.sample_id, m.i, x.role = 'assistant' AS own, CASE WHEN calls IS NULL THEN length(coalesce(x.content, '')) ELSE length(calls) + CASE WHEN coalesce(x.content, '') <> '' THEN 1 + length(x.content) ELSE 0 END END + 10 AS made,
