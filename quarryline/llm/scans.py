@@ -262,13 +262,18 @@ def inspect(text: str, names: Names, known: Corrections) -> tuple[bool, bool, st
 
 
 def _text_blocks(blocks: DataFrame) -> DataFrame:
-    columns = ("block_id", "pdf_file", "page_idx", "block_idx", "text_level", "text")
-    return blocks.filter("block_type = 'text' and block_id is not null and text is not null and text <> ''").select(*columns).distinct()
+    columns = ("block_id", "pdf_file", "page_idx", "block_idx", "text_level")
+    rows = blocks.filter("block_type = 'text' and block_id is not null and text is not null and text <> ''").select(*columns, "text", F.md5("text").alias("h"))
+    return rows.dropDuplicates([*columns, "h"]).drop("h")
 
 
 def read_noise(blocks: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
     """(block_id, broken_word, misread, repaired) of every text block, by the corpus vocabulary."""
-    spark, texts = blocks.sparkSession, _text_blocks(blocks).select("block_id", "text")
+    return _read_noise(cut_lineage(_text_blocks(blocks)), names, name)
+
+
+def _read_noise(texts: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    spark, texts = texts.sparkSession, texts.select("block_id", "text")
     # a register is a list of stated size, held by every task
     own = spark.sparkContext.broadcast(Names([r[0] for r in names.select(name).filter(F.col(name).isNotNull()).distinct().collect()]))
     table = cut_lineage(corrections(texts, own))
@@ -318,22 +323,32 @@ def _page_numbers(texts: DataFrame) -> DataFrame:
     return numbers.join(sequence, "pdf_file", "left").filter("(usual is null and shift in (0, 1)) or shift = usual").select("block_id").distinct()
 
 
-def page_furniture(blocks: DataFrame, most_chars: int = 60, least_letters: int = 4, least_pages: int = 3, share: float = 1 / 3, edge: int = EDGE, fuzzy: float = FUZZY) -> DataFrame:
+def page_furniture(blocks: DataFrame) -> DataFrame:
     """(block_id, noise, exact) of the text blocks that are page numbers or running headers.
 
     A page number has the form of one and goes with the sequence of its PDF. Headers and footers are short lines without a level at the edges of pages that come back, digits and spaces aside and up to
     the share ``fuzzy`` of their characters, on enough pages. They are held against the forms that come back exactly on a ninth of the pages (two at least), so a PDF has few of these.
     ``exact`` tells whether the very line comes back on enough pages.
     """
-    texts = _text_blocks(blocks).filter("pdf_file is not null and page_idx is not null")
-    numbers = _page_numbers(texts)
-    pages = blocks.filter("pdf_file is not null").groupBy("pdf_file").agg((F.max("page_idx") + 1).alias("pages"))
+    return _furniture(_text_blocks(blocks), _pages(blocks))
+
+
+def _pages(blocks: DataFrame) -> DataFrame:
+    """(pdf_file, pages) by the largest page index of any block."""
+    return blocks.filter("pdf_file is not null").groupBy("pdf_file").agg((F.max("page_idx") + 1).alias("pages"))
+
+
+def _furniture(texts: DataFrame, pages: DataFrame, most_chars: int = 60, least_letters: int = 4, least_pages: int = 3, share: float = 1 / 3, edge: int = EDGE, fuzzy: float = FUZZY) -> DataFrame:
+    # longer texts only take a place on the page
+    texts = texts.filter("pdf_file is not null and page_idx is not null").withColumn("text", F.when(F.length("text") <= most_chars, F.col("text")))
+    numbers = cut_lineage(_page_numbers(texts.filter("text is not null")))
     page = Window.partitionBy("pdf_file", "page_idx")
     down, up = F.row_number().over(page.orderBy("block_idx", "block_id")), F.row_number().over(page.orderBy(F.desc("block_idx"), F.desc("block_id")))
     short = F.col("text_level").isNull() & (F.length("text") <= most_chars) & (F.length(F.regexp_replace("text", r"[^\p{L}]", "")) >= least_letters)
     placed = texts.withColumn("edge", F.least(down, up) <= edge).filter(short).join(numbers, "block_id", "left_anti")
-    lines = placed.select("block_id", "pdf_file", "page_idx", "edge", F.regexp_replace("text", r"(?U)[\d\s]", "").alias("line"))
+    lines = cut_lineage(placed.select("block_id", "pdf_file", "page_idx", "edge", F.regexp_replace("text", r"(?U)[\d\s]", "").alias("line")))
     counts = lines.select("pdf_file", "line", "page_idx").distinct().groupBy("pdf_file", "line").agg(F.count(F.lit(1)).alias("n")).join(pages, "pdf_file")
+    counts = cut_lineage(counts)
     forms = counts.filter((F.col("n") >= 2) & (F.col("n") * 9 >= F.col("pages"))).select("pdf_file", F.col("line").alias("form"), "pages")
     alike = lines.filter("edge").select("pdf_file", "line", "page_idx").distinct().join(forms, "pdf_file").filter(F.levenshtein("line", "form") <= F.length("form") * F.lit(fuzzy))
     back = alike.groupBy("pdf_file", "form", "pages").agg(F.count_distinct("page_idx").alias("on")).filter(F.col("on") >= least_pages).filter(F.col("on") >= F.col("pages") * F.lit(share)).select("pdf_file", "form")
@@ -351,15 +366,17 @@ def scan_noise(blocks: DataFrame, names: DataFrame, name: str = "name") -> DataF
     A header counts here if the very line comes back often enough (digits and spaces aside); one that differs a little is furniture for ``document_paragraphs`` all the same.
     Null files or pages make a block neither page number nor header. Empty tables give no rows; further columns are ignored.
     """
-    read = read_noise(blocks, names, name)
+    texts = cut_lineage(_text_blocks(blocks))
+    read = _read_noise(texts, names, name)
     kinds = F.array_compact(F.array(F.when(F.col("broken_word"), F.lit("broken_word")), F.when(F.col("misread"), F.lit("misread"))))
-    return read.select("block_id", F.explode(kinds).alias("noise")).unionByName(page_furniture(blocks).filter("exact").select("block_id", "noise")).distinct()
+    return read.select("block_id", F.explode(kinds).alias("noise")).unionByName(_furniture(texts, _pages(blocks)).filter("exact").select("block_id", "noise")).distinct()
 
 
 def _readable(blocks: DataFrame, names: DataFrame, name: str) -> DataFrame:
     """Text blocks with a place, without furniture, with their repaired text; ``ended`` if a paragraph can't go on after them."""
-    texts = _text_blocks(blocks).filter("pdf_file is not null and page_idx is not null")
-    clean = texts.join(page_furniture(blocks).select("block_id").distinct(), "block_id", "left_anti").join(read_noise(blocks, names, name).select("block_id", "repaired"), "block_id")
+    whole = cut_lineage(_text_blocks(blocks))
+    texts = whole.filter("pdf_file is not null and page_idx is not null")
+    clean = texts.join(_furniture(whole, _pages(blocks)).select("block_id").distinct(), "block_id", "left_anti").join(_read_noise(whole, names, name).select("block_id", "repaired"), "block_id")
     return clean.withColumn("ended", F.col("repaired").rlike("[。！？!?.：:；;…”）)%]\\s*$") | F.col("text_level").isNotNull())
 
 
