@@ -185,6 +185,32 @@ def bm25_top_k_of(documents: DataFrame, queries: DataFrame, query: str, key: str
     return _top_of_blocks(words, weighed, query, key, k, 1e-6, "score", prepare, scorer)
 
 
+def sparse_top_k_of(vectors: DataFrame, queries: DataFrame, query: str, key: str, vector: str, k: int) -> DataFrame:
+    """(query, key, score, rank): the ``k`` rows with the largest inner product with each sparse query of a table; every row is scored against every query.
+
+    ``vector`` is an array of (key, value) entries; ``queries`` has a row a query and word: ``query``, ``word`` and ``weight``. Null keys and vectors are left out, rows without a common word aren't listed; ties by key.
+    """
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.transform(vector, lambda x: x["key"]).alias("_w"), F.transform(vector, lambda x: x["value"].cast("double")).alias("_x"))
+    asked = queries.filter(F.col(query).isNotNull() & F.col("word").isNotNull()).select(query, "word", F.col("weight").cast("double").alias("weight"))
+
+    def prepare(found: list) -> tuple[list, dict]:
+        ids = list(dict.fromkeys(r[query] for r in found))
+        index, lists = {q: i for i, q in enumerate(ids)}, {}
+        for r in found:
+            lists.setdefault(r["word"], []).append((index[r[query]], r["weight"]))
+        return ids, {t: (np.array([i for i, _ in x], dtype=np.int32), np.array([w for _, w in x])) for t, x in lists.items()}
+
+    def scorer(b: pd.DataFrame, block: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((len(b), n))
+        for i, (words, values) in enumerate(zip(b["_w"], b["_x"])):
+            hits = [(*block[w], x) for w, x in zip(words, values) if w in block]
+            if hits:
+                out[i] = np.bincount(np.concatenate([q for q, _, _ in hits]), np.concatenate([w * x for _, w, x in hits]), n)
+        return b[key].to_numpy(), out
+
+    return _top_of_blocks(rows, asked, query, key, k, 1e-6, "score", prepare, scorer)
+
+
 def latest_scores(hits: DataFrame, small_is_good: Sequence[str] = ("l2_dist",)) -> DataFrame:
     """(query_id, chunk_id, retriever, good): each retriever's latest valid score, signed so that large is good."""
     valid = hits.filter(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull() & F.col("retriever").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
