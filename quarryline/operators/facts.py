@@ -69,3 +69,4 @@ def forecasts_long(reports: DataFrame) -> DataFrame:
     """(report_id, year, eps, pe): the forecast columns as rows; NaN is null, rows without any figure are left out."""
     pairs = F.array(*(F.struct(F.lit(y).alias("year"), F.nanvl(f"eps_{y}", F.lit(None)).alias("eps"), F.nanvl(f"pe_{y}", F.lit(None)).alias("pe")) for y in (2025, 2026, 2027)))
     return reports.filter("report_id is not null").select("report_id", F.explode(pairs).alias("x")).select("report_id", "x.year", "x.eps", "x.pe").filter("eps is not null or pe is not null").distinct()
+
