@@ -255,4 +255,13 @@ SELECT DISTINCT chunk_id, CASE WHEN length(t) <= 200 THEN t WHEN k > 0 AND 200 -
 WITH d AS (SELECT doc_id, regexp_replace(text, '^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$', '', 'g') AS t FROM documents),
 w AS (SELECT doc_id, s, regexp_replace(substr(t, s + 1, 300), '^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$', '', 'g') AS chunk FROM d, unnest(range(0, length(t), 240)) u(s) WHERE length(t) > 300)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, chunk FROM w WHERE length(chunk) >= 50 UNION ALL SELECT doc_id, 0, t FROM d WHERE length(t) BETWEEN 20 AND 300""",
+    "sliding_window_chunks": r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+m AS (SELECT doc_id, text, n, CASE WHEN n <= 512 THEN [] ELSE list_filter(range(1, n + 1), lambda i: contains('。；' || chr(10), substr(text, i, 1))) END AS marks FROM d),
+w AS (
+  SELECT doc_id, text, n, marks, 0::BIGINT AS s, CASE WHEN 512 < n AND coalesce(list_max(list_filter(marks, lambda k: k <= 512)), 0) - 1 > 256 THEN list_max(list_filter(marks, lambda k: k <= 512)) ELSE 512 END::BIGINT AS e FROM m WHERE n > 512
+  UNION ALL
+  SELECT doc_id, text, n, marks, e - 64, CASE WHEN e - 64 + 512 < n AND coalesce(list_max(list_filter(marks, lambda k: k > e - 64 AND k <= e - 64 + 512)), 0) - 1 - (e - 64) > 256 THEN list_max(list_filter(marks, lambda k: k > e - 64 AND k <= e - 64 + 512)) ELSE e - 64 + 512 END FROM w WHERE e - 64 < n),
+p AS (SELECT doc_id, s, regexp_replace(substr(text, s + 1, e - s), '^[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+|[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+$', '', 'g') AS chunk FROM w WHERE s < n)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, chunk FROM p WHERE length(chunk) >= 50 UNION ALL SELECT doc_id, 0, text FROM d WHERE n BETWEEN 50 AND 512""",
 }

@@ -203,6 +203,15 @@ z AS (SELECT d.*, score, row_number() OVER (PARTITION BY query_id ORDER BY score
 """
 )
 _VECTOR = " UNION ALL ".join(f"SELECT '{n}' AS query, [{', '.join(repr(x) for x in v)}]::DOUBLE[] AS q" for n, v in VECTORS)
+#: Calls of the trajectories, of the latest row of each sample.
+_K = """
+WITH s AS (SELECT sample_id, arg_max(messages, created_at) AS ms FROM sft_data WHERE sample_id IS NOT NULL AND messages IS NOT NULL GROUP BY 1),
+m AS (SELECT sample_id, i, ms[i] AS x FROM s, unnest(range(1, len(ms) + 1)) u(i)),
+c AS (SELECT sample_id, i, j, x.content AS thought, x.tool_calls[j] AS c FROM m, unnest(range(1, len(x.tool_calls) + 1)) v(j)),
+t AS (SELECT sample_id, coalesce(x.tool_call_id, '') AS id, arg_min(x.content, i) AS observation FROM m WHERE x.role = 'tool' GROUP BY 1, 2),
+k AS (SELECT c.sample_id, row_number() OVER (PARTITION BY c.sample_id ORDER BY i, j) AS step_no, c.c.func.name AS tool, coalesce(json_extract_string(c.c.func.arguments, '$.query'), json_extract_string(c.c.func.arguments, '$.expression'), c.c.func.arguments) AS query, observation, thought
+  FROM c LEFT JOIN t ON t.sample_id = c.sample_id AND t.id = coalesce(c.c.id, ''))
+"""
 SQL = {
     "cosine_top": f"WITH v AS ({_VECTOR}), s AS (SELECT query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, v), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
     "bm25_top": r"WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n, avg(len(ws)) AS m FROM d), q AS (SELECT * FROM (VALUES "
@@ -248,4 +257,16 @@ SELECT sample_id, md5(chat) AS chat_hash, length(chat) AS n_chars, n_spans, gene
     "question_types": "SELECT question_type, count(*) AS n_samples FROM (SELECT DISTINCT sample_id, question_type FROM sft_data WHERE sample_id IS NOT NULL) GROUP BY 1",
     "event_properties": "SELECT event_type, sum((props->>'$.k')::BIGINT) AS sum_k, count(*) AS n_events FROM events GROUP BY 1",
     "event_rollup": "SELECT event_type, ts::DATE AS day, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type, ts::DATE)",
+    "parsed_calls": _K + r"SELECT sample_id, step_no, nullif(trim(coalesce(thought, ''), ' ' || chr(10) || chr(9) || chr(13) || '　'), '') AS content, tool AS name, regexp_replace(query, '[\"\\\\]', '', 'g') AS query FROM k",
+    "validated_samples": _K
+    + r""", o AS (SELECT sample_id, arg_max(question, created_at) AS question, arg_max(question_type, created_at) AS question_type, arg_max(messages, created_at)[-1].content AS answer FROM (SELECT * REPLACE (coalesce(question, chr(1)) AS question, coalesce(question_type, chr(1)) AS question_type) FROM sft_data) WHERE sample_id IS NOT NULL GROUP BY 1),
+g AS (SELECT sample_id, list({'n': step_no, 'tool': tool, 'query': query, 'obs': coalesce(observation, '')} ORDER BY step_no) AS st FROM k GROUP BY 1),
+r AS (SELECT o.sample_id, nullif(question, chr(1)) AS question, nullif(question_type, chr(1)) AS question_type, answer, coalesce(st, []) AS st FROM o LEFT JOIN g USING (sample_id)),
+v AS (SELECT *, list_distinct(regexp_extract_all(coalesce(answer, ''), '\d+\.?\d*')) AS own, list_distinct(regexp_extract_all(array_to_string(list_transform(st, lambda s: s.obs), ' '), '\d+\.?\d*')) AS seen FROM r),
+u AS (SELECT sample_id, bool_or(EXISTS (SELECT 1 FROM (SELECT unnest(list_distinct(regexp_extract_all(coalesce(query, ''), '\d+\.?\d*'))) AS x) WHERE x::DOUBLE > 10 AND x NOT IN ('100', '1000', '10000') AND NOT list_contains(regexp_extract_all(coalesce(before, ''), '\d+\.?\d*'), x))) AS unsourced, bool_or(NOT regexp_matches(coalesce(query, ''), '\d')) AS none
+  FROM (SELECT *, string_agg(coalesce(observation, ''), ' ') OVER (PARTITION BY sample_id ORDER BY step_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k) WHERE tool = 'calculate' GROUP BY 1),
+e AS (SELECT sample_id, concat_ws(',', CASE WHEN coalesce(question, '') = '' THEN 'question' END, CASE WHEN len(st) = 0 THEN 'steps' END, CASE WHEN len(st) > 6 THEN 'too_many_steps' END, CASE WHEN regexp_replace(coalesce(answer, ''), '[\s\x{a0}\x{2000}-\x{200a}\x{3000}]', '', 'g') = '' THEN 'answer' END,
+  CASE WHEN len(list_filter(st, lambda s: coalesce(s.tool, '') NOT IN ('search_financial', 'search_industry', 'search_report', 'calculate'))) > 0 THEN 'tool' END, CASE WHEN len(list_filter(st, lambda s: s.obs = '')) > 0 THEN 'observation' END,
+  CASE WHEN coalesce(question_type, '') <> 'reject' AND len(own) > 0 AND len(list_intersect(own, seen))::DOUBLE / len(own) < 0.5 THEN 'grounding' END, CASE WHEN unsourced THEN 'operands' END, CASE WHEN none THEN 'no_operand' END) AS errors FROM v LEFT JOIN u USING (sample_id))
+SELECT sample_id, errors, errors = '' AS is_valid FROM e""",
 }

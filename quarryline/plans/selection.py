@@ -9,7 +9,7 @@ from quarryline.functions.text import iso_date
 from quarryline.operators import selection as S
 from quarryline.operators import trajectory as T
 from quarryline.plans.reports import ALIASES
-from quarryline.plans.retrieval import TOOLS
+from quarryline.plans.retrieval import _K, TOOLS
 from quarryline.sources import read_table
 
 PREFIX, SINCE = "0906", "2024-01-01"
@@ -139,15 +139,8 @@ QUERIES = {
 
 _DAY = "TRY_CAST(replace(report_date[1:10], '/', '-') AS DATE)"
 _VALUES = ", ".join(f"('{a}', '{t}')" for a, t in [*ALIASES.items(), ("光伏", "新能源")])
-#: Calls of the trajectories, of the latest row of each sample.
-STEPS = """
-WITH s AS (SELECT sample_id, arg_max(messages, created_at) AS ms FROM sft_data WHERE sample_id IS NOT NULL AND messages IS NOT NULL GROUP BY 1),
-m AS (SELECT sample_id, i, ms[i] AS x FROM s, unnest(range(1, len(ms) + 1)) u(i)),
-c AS (SELECT sample_id, i, j, x.content AS thought, x.tool_calls[j] AS c FROM m, unnest(range(1, len(x.tool_calls) + 1)) v(j)),
-t AS (SELECT sample_id, coalesce(x.tool_call_id, '') AS id, arg_min(x.content, i) AS observation FROM m WHERE x.role = 'tool' GROUP BY 1, 2),
-k AS (SELECT c.sample_id, row_number() OVER (PARTITION BY c.sample_id ORDER BY i, j) AS step_no, c.c.func.name AS tool, coalesce(json_extract_string(c.c.func.arguments, '$.query'), json_extract_string(c.c.func.arguments, '$.expression'), c.c.func.arguments) AS query, observation, thought
-  FROM c LEFT JOIN t ON t.sample_id = c.sample_id AND t.id = coalesce(c.c.id, ''))
-"""
+#: Calls of the trajectories.
+STEPS = _K
 SQL = {
     "usable_reports": f"SELECT DISTINCT report_id, {_DAY} AS day, pdf_file FROM all_reports WHERE report_id IS NOT NULL AND {_DAY} IS NOT NULL AND starts_with(pdf_file, '{PREFIX}')",
     "dated_chunks": f"SELECT CASE WHEN coalesce(report_date, '') = '' THEN 'undated' WHEN regexp_split_to_array(report_date, '[ T]')[1] >= '{SINCE}' THEN 'kept' ELSE 'old' END AS verdict, count(*) AS n_chunks FROM (SELECT DISTINCT chunk_id, report_date FROM all_chunks WHERE source_type = 'report_fulltext') GROUP BY 1",

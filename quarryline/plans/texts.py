@@ -11,6 +11,7 @@ from quarryline.operators import chunking, facts
 from quarryline.operators import figures as G
 from quarryline.operators import tools as U
 from quarryline.operators import trajectory as T
+from quarryline.plans import documents as D
 from quarryline.plans.reports import _I
 from quarryline.plans.retrieval import TOOLS
 from quarryline.plans.selection import STEPS
@@ -156,6 +157,7 @@ _STRUCTURE = f"concat_ws('，', {_t('资产负债率', 'debt', '%', 'debt0')}, {
 _PRODUCT = "(net / 100 * turn * mul * 100)"
 _RETURN = f"concat_ws('，', {_t('净资产收益率(ROE)', 'roe', '%', 'roe0')}, {_t('销售净利率', 'net', '%', 'net0')}, {_t('总资产周转率', 'turn', '次', 'turn0')}, {_t('权益乘数', 'mul', '倍', 'mul0')}, '杜邦验算ROE≈' || format('{{:.2f}}', {_PRODUCT}) || '%（净利率×周转率×权益乘数）' || CASE WHEN abs({_PRODUCT} - roe) > 1 THEN '，与报告ROE（' || format('{{:.2f}}', roe) || '%）存在' || format('{{:.2f}}', abs({_PRODUCT} - roe)) || '个百分点差异，可能源于加权平均口径差异' ELSE '' END)"
 _G = STEPS + ", sm AS (SELECT sample_id, arg_max(question, created_at) AS question FROM sft_data WHERE sample_id IS NOT NULL GROUP BY 1 HAVING arg_max(question, created_at) IS NOT NULL)"
+_SECTIONS = D.SQL["section_windows"].split("SELECT pdf_file, section_no, row_number()")[0].rstrip() + ", windows AS (SELECT pdf_file, section_no, row_number()" + D.SQL["section_windows"].split("SELECT pdf_file, section_no, row_number()", 2)[-1] + ") "
 SQL = {
     "profit_texts": _P + f"SELECT stock_code, year, season, header || '盈利与成长指标，' || {_PROFIT} || '。' AS text FROM y WHERE {_PROFIT} <> ''",
     "structure_texts": _P + f"SELECT stock_code, year, season, header || '偿债与运营指标，' || {_STRUCTURE} || '。' AS text FROM y WHERE {_STRUCTURE} <> ''",
@@ -172,4 +174,12 @@ WITH s AS (SELECT sample_id, arg_max(messages, created_at) AS ms FROM sft_data W
 m AS (SELECT sample_id, i, ms[i].role = 'assistant' AS own FROM s, unnest(range(1, len(ms) + 1)) u(i)),
 g AS (SELECT sample_id, i, i - row_number() OVER (PARTITION BY sample_id ORDER BY i) AS island FROM m WHERE own)
 SELECT sample_id, min(i) - 1 AS start, max(i) AS "end" FROM g GROUP BY sample_id, island""",
+    "headed_windows": _SECTIONS
+    + f", p AS (SELECT pdf_file, CASE WHEN i <> '' THEN '[' || i || '] ' ELSE '' END AS header FROM (SELECT pdf_file, concat_ws(' ', nullif(stock_name, ''), TRY_CAST(replace(report_date[1:10], '/', '-') AS DATE)::VARCHAR, nullif(report_title, '')) AS i FROM pdf_map)) SELECT pdf_file, section_no, chunk_index, coalesce(header, '') || chunk AS chunk FROM windows LEFT JOIN p USING (pdf_file)",
+    "windows_with_section": _SECTIONS + "SELECT pdf_file || '#' || section_no AS section, chunk_index, length(chunk) AS n_chars, md5(text[1:3000]) AS parent_hash FROM windows JOIN s USING (pdf_file, section_no)",
+    "table_records": r"""
+WITH b AS (SELECT DISTINCT block_id, pdf_file, block_idx, block_type, text, text_level, page_idx, table_body, table_caption, table_footnote, regexp_replace(coalesce(text, ''), '^[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+|[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+$', '', 'g') AS t FROM content_list WHERE pdf_file IS NOT NULL AND block_idx IS NOT NULL),
+h AS (SELECT *, last_value(CASE WHEN block_type = 'text' AND text_level = 1 AND length(t) >= 3 AND NOT regexp_matches(t, '^(分析师|研究员|联系人|证券分析师|首席分析师)\s*[:：]\s*\S{2,6}$|^(强烈推荐|买入|增持|中性|回避|卖出)|^\d{4}\s*年\s*\d{1,2}\s*月') THEN t END IGNORE NULLS) OVER (PARTITION BY pdf_file ORDER BY block_idx, block_id ROWS UNBOUNDED PRECEDING) AS section FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY pdf_file ORDER BY block_idx, block_id) AS n FROM h WHERE block_type = 'table' AND table_body <> '')
+SELECT pdf_file || '_t' || n AS parent_id, pdf_file, page_idx, coalesce(section, '') AS current_section, array_to_string(coalesce(table_caption, []), ' ') AS table_caption, array_to_string(coalesce(table_footnote, []), ' ') AS table_footnote, stock_code, institution, report_title FROM r LEFT JOIN pdf_map USING (pdf_file)""",
 }
