@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -56,11 +57,17 @@ ITEM = re.compile(r"^\s*(?:\d{1,2}[.、)）]|[-*•·]|[（(]\d{1,2}[)）])\s*")
 SPLIT = re.compile(r"(?<=[。！？!?\n])|(?<=[a-zà-ÿ)\d]\.)(?=\s+[A-ZÀ-Ý])|(?<=[a-z]{2}\.)(?=[一-鿿])")
 
 
+_HAN, _KANA, _HANGUL, _REST, _JAMO, _WORDS = re.compile("[一-鿿]"), re.compile("[ぁ-ヺ]"), re.compile("[가-힣]"), re.compile("[Ͱ-᳿؀-ۿ]"), re.compile("[ᄀ-ᇿ]"), re.compile(r"[A-Za-zÀ-ÿĀ-ž][A-Za-zÀ-ÿĀ-ž']*")
+
+
+@lru_cache(100_000)
 def language(text: str) -> str:
     """zh, ja, ko, en, other (Latin letters of another language, or another script) or none."""
-    han, kana, hangul = len(re.findall("[一-鿿]", text)), len(re.findall("[ぁ-ヺ]", text)), len(re.findall("[가-힣]", text))
-    rest = len(re.findall("[Ͱ-᳿؀-ۿ]", text)) - len(re.findall("[ᄀ-ᇿ]", text))
-    words = [w.lower() for w in re.findall(r"[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ']*", text)]
+    han = kana = hangul = rest = 0
+    if not text.isascii():
+        han, kana, hangul, rest = len(_HAN.findall(text)), len(_KANA.findall(text)), len(_HANGUL.findall(text)), len(_REST.findall(text))
+        rest -= len(_JAMO.findall(text)) if rest else 0
+    words = [w.lower() for w in _WORDS.findall(text)]
     latin = sum(map(len, words))
     if not han + kana + hangul + rest + latin:
         return "none"
@@ -71,20 +78,23 @@ def language(text: str) -> str:
     if rest > max(han, latin):
         return "other"
     if latin > 3.5 * han:
-        en, other = sum(w in EN for w in words), sum(w in OTHER_WORDS and w not in EN for w in words) + sum(any(c > "~" for c in w) for w in words)
+        en, other = sum(w in EN for w in words), sum(w in OTHER_WORDS and w not in EN for w in words) + sum(not w.isascii() for w in words)
         return "other" if other > en else "en"
     return "zh"
 
 
+_LATIN = re.compile("[A-Za-z]")
+_LONG, _ASKING = re.compile(r"[A-Za-z]{2,}"), re.compile(r"\b(?:the|of|is|what|how|with|please|compare|on|in|and)\b", re.I)
+
+
+@lru_cache(20_000)
 def expected_language(question: str) -> str:
     """The language that the question asks for, else its own (names in another script aside)."""
     for pattern, lang in WANTED:
         if pattern.search(question):
             return lang
     own = language(question)
-    if own == "zh" and len(re.findall(r"[A-Za-z]{2,}", question)) >= 4 and len(re.findall(r"\b(?:the|of|is|what|how|with|please|compare|on|in|and)\b", question, re.I)) >= 2:
-        return "en"
-    return own
+    return "en" if own == "zh" and len(_LONG.findall(question)) >= 4 and len(_ASKING.findall(question)) >= 2 else own
 
 
 def clauses(answer: str) -> list[str]:
@@ -92,9 +102,20 @@ def clauses(answer: str) -> list[str]:
     return [c.strip() for c in SPLIT.split(answer) if any(map(str.isalnum, c))]
 
 
+_NO_WORD = re.compile(r"[\W_]+")
+
+
 def _bigrams(text: str) -> set[str]:
-    t = "".join(c for c in text.lower() if c.isalnum())
-    return {t[i : i + 2] for i in range(len(t) - 1)}
+    t = _NO_WORD.sub("", text.lower())
+    return {a + b for a, b in zip(t, t[1:])}
+
+
+def _cues(c: str) -> list[float]:
+    """Which cues a clause holds; Chinese ones are looked for only in Chinese, and so on."""
+    plain, han = c.isascii(), _HAN.search(c) is not None
+    latin = _LATIN.search(c) is not None
+    worth = (han, han, han, latin, latin, latin, han or latin, latin or not plain)
+    return [float(w and p.search(c) is not None) for w, p in zip(worth, CUES)]
 
 
 def _ending(c: str) -> str:
@@ -108,37 +129,47 @@ def _ending(c: str) -> str:
     return "dangling" if DANGLING.search(c) else "word"
 
 
-def features(question: str, parts: list[str], answer: str) -> np.ndarray:
-    """One row a clause: language, cues, overlap with the question, and how it ends."""
+_NUMBER_DOT, _DIGIT_DOT, _DIGIT_END, _DIGIT = re.compile(r"(\S+)\s+(\d+)\.$"), re.compile(r"\d\.$"), re.compile(r"[\d,]$"), re.compile(r"\d")
+#: Features of how an answer ends, all 0 for clauses before the last.
+ENDINGS = 15
+
+
+def _end_features(parts: list[str], lang: str) -> list[float]:
+    """How the last clause ends: finished or not, by its last characters, an open bracket, and the list entries before it."""
+    c, end = parts[-1], _ending(parts[-1])
+    before, dotted = _NUMBER_DOT.search(c), _DIGIT_DOT.search(c) is not None
+    zh_dot = dotted and lang in ("zh", "none")
+    year = before is not None and len(before[2]) == 4 and before[2][:2] == "20" and before[1].lower() in ("beyond", "in", "for", "of", "by", "until", "since")
+    month = before is not None and before[1].lower() in ("month", "months", "quarter", "step")
+    item = ITEM.match(c) is not None
+    prior = next((x for x in parts[:-1] if ITEM.match(x)), None)
+    like = 0.5
+    if item and prior:
+        like = float(_ending(prior) == end and (end != "word") or abs(len(c) - len(prior)) <= 1 and c[-1:] == prior[-1:])
+    finished = end in ("terminal", "unit") or end == "dot" and not zh_dot and (not dotted or year or month)
+    unclosed = sum(map(c.count, "（(“《「[")) > sum(map(c.count, "）)”》」]"))
+    return [
+        1.0, float(finished), float(not finished), float(end == "dangling"), float(end == "word"), float(zh_dot), float(unclosed), float(_DIGIT_END.search(c) is not None), float(item and len(ITEM.sub("", c)) < 2), float(item and prior is not None and like == 0.0), float(item and like == 1.0),
+        float(c.endswith("|")), float(end == "dot" and dotted and not (year or month)), float(end == "word" and prior is not None), float(end == "unit"),
+    ]
+
+
+def features(question: str, parts: list[str]) -> np.ndarray:
+    """One row a clause: language, cues, overlap with the question, and how the answer ends."""
     wanted, asked, out = expected_language(question), _bigrams(question), []
-    items = [i for i, c in enumerate(parts) if ITEM.match(c)]
-    for i, c in enumerate(parts):
-        lang, own = language(c), _bigrams(c)
-        end, last = _ending(c), i == len(parts) - 1
-        has_digit = any(map(str.isdigit, c))
-        cues = [float(bool(p.search(c))) for p in CUES]
-        shared = len(own & asked)
-        tail = c[-12:]
-        before_dot = re.search(r"(\S+)\s+(\d+)\.$", c)
-        zh_dot = bool(re.search(r"\d\.$", c)) and lang in ("zh", "none")
-        year = bool(before_dot) and len(before_dot[2]) == 4 and before_dot[2][:2] == "20" and before_dot[1].lower() in ("beyond", "in", "for", "of", "by", "until", "since")
-        month = bool(before_dot) and before_dot[1].lower() in ("month", "months", "quarter", "step")
-        prior = [parts[j] for j in items if j < i]
-        open_bracket = sum(c.count(x) for x in "（(“《「[") > sum(c.count(x) for x in "）)”》」]")
-        like = 0.5
-        if i in items and prior:
-            like = float(_ending(prior[0]) == end and (end != "word") or abs(len(c) - len(prior[0])) <= 1 and c[-1:] == prior[0][-1:])
-        finished = end in ("terminal", "unit") or end == "dot" and not zh_dot and (not re.search(r"\d\.$", c) or year or month)
+    for c in parts:
+        lang, own, cues = language(c), _bigrams(c), _cues(c)
+        shared, n, digit = len(own & asked), sum(cues), _DIGIT.search(c) is not None
         out.append(
             [
-                1.0, float(lang == wanted), float(lang == "none"), float(lang not in (wanted, "none")), float(lang in ("ja", "ko", "other")), float(wanted == "zh"), *cues, float(sum(cues)), float(sum(cues) > 0 and not has_digit),
-                float(sum(cues) > 1), float(cues[-1] > 0 and not has_digit), float(sum(cues[:-1]) > 0 and cues[-1] > 0 and not has_digit), float(bool(POLITE.search(c))), float(bool(ASKED.search(c))), shared / max(1, len(own)), float(shared > 0.75 * len(own)), float(shared > 0.9 * len(own)), shared / max(1, len(asked)), float(has_digit), min(len(c), 200) / 100,
-                float(last), float(last and finished), float(last and not finished), float(last and end == "dangling"), float(last and end == "word"), float(last and zh_dot), float(last and open_bracket), float(last and bool(re.search(r"[\d,]$", c))),
-                float(last and i in items and len(ITEM.sub("", c)) < 2), float(last and i in items and prior != [] and like == 0.0), float(last and i in items and like == 1.0), float(last and tail.endswith("|")), float(last and end == "dot" and bool(re.search(r"\d\.$", c)) and not (year or month)),
-                float(last and end == "word" and bool(prior)), float(last and end == "unit"), float(len(parts) == 1), float(has_digit and not sum(cues)),
+                1.0, lang == wanted, lang == "none", lang not in (wanted, "none"), lang in ("ja", "ko", "other"), wanted == "zh", *cues, n, n > 0 and not digit, n > 1, cues[-1] > 0 and not digit, n > cues[-1] > 0 and not digit, POLITE.search(c) is not None, ASKED.search(c) is not None,
+                shared / max(1, len(own)), shared > 0.75 * len(own), shared > 0.9 * len(own), shared / max(1, len(asked)), digit, min(len(c), 200) / 100, len(parts) == 1, digit and not n,
             ]
         )
-    return np.array(out)
+    rows = np.zeros((len(parts), len(out[0]) + ENDINGS))
+    rows[:, : len(out[0])] = out
+    rows[-1, len(out[0]) :] = _end_features(parts, language(parts[-1]))
+    return rows
 
 
 # ---- training sequences: refusals, foreign answers and introductions put together from parts
@@ -251,7 +282,7 @@ def train(pairs: list[tuple[str, str]], seed: int = SEED) -> LinearChain:
     for q, a, labels in training_sequences(pairs, seed):
         parts = clauses(a)
         if parts and len(parts) <= 12:
-            xs.append(features(q, parts, a))
+            xs.append(features(q, parts))
             ys.append(np.array(labels))
     return LinearChain(len(LABELS)).fit(xs, ys)
 
@@ -262,7 +293,7 @@ def defect(question: str, answer: str | None, model: LinearChain, may_refuse: bo
     parts = clauses(answer)
     if not parts or PLACEHOLDER.match(answer.strip()):
         return "empty"
-    tags = model.decode(features(question, parts, answer))
+    tags = model.decode(features(question, parts))
     cover = np.bincount(tags, [len(c) for c in parts], len(LABELS))
     if cover[REFUSAL] and not cover[ANSWER] and not cover[FOREIGN] and not cover[UNFINISHED]:
         return None if may_refuse else "refusal"

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from quarryline.llm.crf import LinearChain
-from quarryline.llm.pairs import broken_pairs, clauses, defect, expected_language, features, language, train, training_sequences
+from quarryline.llm.pairs import Kinds, broken_pairs, clauses, defect, expected_language, features, language, train, training_sequences
 
 ZH = [f"{m}为{n}亿元，较年初有所变化。公司预计{k}将有所恢复，订单充足。" for m, n, k in itertools.product(["毛利率", "营业收入", "净利润", "研发投入"], [12.5, 80.1, 3.7], ["需求", "价格", "产能", "渠道库存"])]
 EN = [f"{m} came to {n} bn in 2024. The company expects {k} to recover next year." for m, n, k in itertools.product(["Revenue", "Gross profit", "Capex"], [12.5, 80.1, 3.7], ["orders", "prices", "demand"])]
@@ -44,7 +44,7 @@ def test_held_out_accuracy(model):
     for q, a, labels in training_sequences(PAIRS * 3, 99):
         parts = clauses(a)
         if parts:
-            tags = model.decode(features(q, parts, a))
+            tags = model.decode(features(q, parts))
             right += sum(x == y for x, y in zip(tags, labels))
             total += len(labels)
     assert right / total > 0.95
@@ -85,3 +85,26 @@ def test_tables(spark):
     assert {(900, "empty"), (901, "empty"), (906, "empty"), (908, "empty")} <= got
     assert not {905, 907, 902, 903, None} & {i for i, _ in got}
     assert broken_pairs(spark.createDataFrame([], schema)).count() == 0
+
+
+UNSEEN_REFUSALS = (
+    "这个话题我没法聊，换一个吧。", "恕我不能就此发表意见。", "我不应该替您做判断，请找专业顾问。", "这类消息我是不会透露的。", "很抱歉，我帮不了您。", "此事不便多谈，请见谅。", "作为AI，我不能推荐具体的股票。", "您问的内容超出了我的职责范围，恕不作答。", "我没有权限查询这些信息。", "抱歉，我拒绝回答。",
+    "I'm afraid I can't go into that.", "That's something I won't talk about.", "I am sorry, this is not something I can help with.", "My guidelines do not allow me to discuss individual shares.", "I must decline to answer.", "I don't give advice on this; please see a professional.", "Unfortunately, I cannot assist with that request.", "Je ne peux pas répondre à cela.", "Das darf ich nicht beantworten.", "申し訳ございませんが、お答えできません。",
+)
+UNSEEN_ANSWERS = (
+    ("公司的订单如何？", "公司不愿透露订单金额，但预计全年增长20%。"), ("毛利率是多少？", "抱歉刚才算错了，正确的毛利率应为31.5%。"), ("净利润为何下降？", "监管部门禁止了该业务，导致净利润下降12%。"), ("海外收入多少？", "年报无法区分各地收入，按分部估算海外约占35%。"),
+    ("What was the margin?", "The company would not disclose the split, but the margin was about 31% in 2024."), ("How did sales develop?", "Sorry for the late reply: sales rose by 12% to 5.3 bn in 2024."), ("Why did profit fall?", "Regulators refused the merger, so profit fell by 8% in 2023."),
+)
+
+
+def test_phrasing_outside_the_sample(model):
+    found = [defect("公司的估值是否合理？" if not t.isascii() else "Is the valuation reasonable?", t, model, False) for t in UNSEEN_REFUSALS]
+    assert sum(x == "refusal" for x in found) >= 0.85 * len(found), [t for t, x in zip(UNSEEN_REFUSALS, found) if x != "refusal"]
+    kept = [(a, x) for q, a in UNSEEN_ANSWERS if (x := defect(q, a, model, False))]
+    assert len(kept) <= 1, kept
+    assert defect("What was the revenue?", "Przychody spółki wyniosły 5 miliardów złotych i wzrosły o 12% w tym roku.", model, False) == "other_language"
+
+
+def test_question_kinds():
+    kinds = Kinds(["帮我写一首诗", "推荐一家餐厅", "公司的毛利率是多少", "公司的收入增长了吗"] * 5, [True, True, False, False] * 5)
+    assert kinds.rejects("再写一首诗") and not kinds.rejects("公司的净利率是多少") and not kinds.rejects("") and not Kinds([], []).rejects("写诗")
