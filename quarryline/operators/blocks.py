@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from quarryline.functions.checkpoints import cut_lineage
 from quarryline.functions.text import strip_u
 
 # Fixed values of the block rules.
@@ -53,9 +57,14 @@ def drop_short(blocks: DataFrame, least: int = MIN_TEXT) -> DataFrame:
     return blocks.filter(~F.coalesce((F.col("block_type") == "text") & F.col("text_level").isNull() & (F.length(body_text()) < least), F.lit(False)))
 
 
-def drop_runners(blocks: DataFrame, share: float = RUNNER_SHARE, longest: int = RUNNER_LENGTH) -> DataFrame:
-    """Without short texts that stand on at least ``max(2, int(pages * share))`` pages of their document (none for one page)."""
-    pages = blocks.groupBy("pdf_file").agg((F.max("page_idx") + 1).alias("_pages"))
+def page_counts(blocks: DataFrame) -> DataFrame:
+    """(pdf_file, _pages): the largest page index and one."""
+    return blocks.groupBy("pdf_file").agg((F.max("page_idx") + 1).alias("_pages"))
+
+
+def drop_runners(blocks: DataFrame, share: float = RUNNER_SHARE, longest: int = RUNNER_LENGTH, pages: DataFrame | None = None) -> DataFrame:
+    """Without short texts that stand on at least ``max(2, int(pages * share))`` pages of their document (none for one page). ``pages`` are counts from before other rules took blocks away."""
+    pages = page_counts(blocks) if pages is None else pages
     short = (F.col("block_type") == "text") & F.col("text_level").isNull() & (F.length("_t") > 0) & (F.length("_t") <= longest)
     rows = blocks.withColumn("_t", body_text())
     seen = rows.filter(short).groupBy("pdf_file", "_t").agg(F.count_distinct("page_idx").alias("_on")).join(pages, "pdf_file")
@@ -74,13 +83,13 @@ def drop_authors(blocks: DataFrame, reach: int = 8) -> DataFrame:
     return rows.filter(~F.coalesce(F.col("_t").rlike(AUTHOR) | contact, F.lit(False))).drop("_at", "_t", "_anchor", "_other")
 
 
-def cut_disclaimer(blocks: DataFrame, share: float = 0.5) -> DataFrame:
-    """Without everything from the first heading with a disclaimer's word in the later pages on."""
-    pages = F.max("page_idx").over(Window.partitionBy("pdf_file")) + 1
+def cut_disclaimer(blocks: DataFrame, share: float = 0.5, pages: DataFrame | None = None) -> DataFrame:
+    """Without everything from the first heading with a disclaimer's word in the later pages on. ``pages`` are counts from before other rules took blocks away."""
     words = F.array(*map(F.lit, DISCLAIMERS))
     hit = (F.col("text_level") == 1) & F.exists(words, lambda w: F.contains(body_text(), w)) & (F.col("page_idx") >= F.floor(F.col("_pages") * share))
     cut = F.min(F.when(hit, F.col("block_idx"))).over(Window.partitionBy("pdf_file"))
-    rows = blocks.withColumn("_pages", pages).withColumn("_cut", cut)
+    rows = blocks.withColumn("_pages", F.max("page_idx").over(Window.partitionBy("pdf_file")) + 1) if pages is None else blocks.join(pages, "pdf_file", "left")
+    rows = rows.withColumn("_cut", cut)
     return rows.filter(F.col("_cut").isNull() | (F.col("block_idx") < F.col("_cut"))).drop("_pages", "_cut")
 
 
@@ -106,28 +115,37 @@ def attach_captions(blocks: DataFrame, longest: int = 80) -> DataFrame:
     return rows.filter(~F.coalesce("_caption", F.lit(False))).drop("_caption", "_next", "_next_text")
 
 
+def _chains(blocks: list) -> list[tuple]:
+    """(block_idx, page_idx, text, parts, block_id) of the plain texts among ordered blocks (at, id, page, text, plain), broken ones joined; in one pass."""
+    out: list[list] = []
+    for b in blocks:
+        head, prior = b["text"].strip(), out[-1] if out else None
+        if prior and prior[5] and b["plain"] and head:
+            tail = prior[2][-1].strip()
+            last = tail[-1:]
+            if tail and last not in SENTENCE_END and (last in BROKEN_TAIL or head[0] in BROKEN_HEAD) and (b["page"] or 0) - (prior[1] or 0) <= 1:
+                prior[2][-1] = prior[2][-1].rstrip()
+                prior[2].append(b["text"].lstrip())
+                continue
+        out.append([b["at"], b["page"], [b["text"]], 0, b["id"], b["plain"]])
+    return [(at, page, "".join(parts), len(parts), i) for at, page, parts, _, i, plain in out if plain]
+
+
 def merge_broken(blocks: DataFrame) -> DataFrame:
-    """Texts that a page's or column's end cut in two joined again: (pdf_file, block_idx, page_idx, text, n_parts) of the text blocks.
+    """Texts that a page's or column's end cut in two joined again: (pdf_file, block_idx, page_idx, text, n_parts, block_id) of the text blocks.
 
     A block joins the chain before it if that ends with no end of a sentence, it goes on by the last or first character, and it stands at most one page
-    after the chain's first block. The page rule looks back to the chain's head, so the blocks of a document are folded in order.
+    after the chain's first block. The page rule looks back to the chain's head, so the blocks of a document are read in order, once, in Arrow batches.
     """
     body = F.struct(F.col("block_idx").alias("at"), F.col("block_id").alias("id"), F.col("page_idx").alias("page"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce((F.col("block_type") == "text") & F.col("text_level").isNull(), F.lit(False)).alias("plain"))
     docs = blocks.groupBy("pdf_file").agg(F.array_sort(F.collect_list(body)).alias("bs"))
-    piece = "struct<at:int,page:int,text:string,plain:boolean,parts:int>"
-    start = F.struct(F.array().cast(f"array<{piece}>").alias("done"), F.lit(None).cast(piece).alias("cur"))
 
-    def step(acc: Column, b: Column) -> Column:
-        cur, tail, head = acc["cur"], strip_u(acc["cur"]["text"]), strip_u(b["text"])
-        last, first = F.substring(tail, -1, 1), F.substring(head, 1, 1)
-        goes_on = F.contains(F.lit(BROKEN_TAIL), last) | F.contains(F.lit(BROKEN_HEAD), first)
-        joins = cur.isNotNull() & cur["plain"] & b["plain"] & (tail != "") & (head != "") & ~F.contains(F.lit(SENTENCE_END), last) & goes_on & (F.coalesce(b["page"], F.lit(0)) - F.coalesce(cur["page"], F.lit(0)) <= 1)
-        merged = F.struct(cur["at"].alias("at"), cur["page"].alias("page"), F.concat(F.regexp_replace(cur["text"], r"(?U)\s+$", ""), F.regexp_replace(b["text"], r"(?U)^\s+", "")).alias("text"), cur["plain"].alias("plain"), (cur["parts"] + 1).alias("parts")).cast(piece)
-        fresh = F.struct(b["at"].cast("int").alias("at"), b["page"].cast("int").alias("page"), b["text"].alias("text"), b["plain"].alias("plain"), F.lit(1).alias("parts")).cast(piece)
-        return F.when(joins, F.struct(acc["done"].alias("done"), merged.alias("cur"))).otherwise(F.struct(F.when(cur.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(cur))).alias("done"), fresh.alias("cur")))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, *x) for k, bs in zip(b["pdf_file"], b["bs"]) for x in _chains(list(bs))]
+            yield pd.DataFrame(rows, columns=["pdf_file", "block_idx", "page_idx", "text", "n_parts", "block_id"]).astype({"page_idx": "Int32"})
 
-    folded = docs.select("pdf_file", F.aggregate("bs", start, step).alias("acc")).select("pdf_file", F.explode(F.concat("acc.done", F.array("acc.cur"))).alias("x"))
-    return folded.filter("x.plain").select("pdf_file", F.col("x.at").alias("block_idx"), F.col("x.page").alias("page_idx"), F.col("x.text").alias("text"), F.col("x.parts").alias("n_parts"))
+    return docs.mapInPandas(run, f"pdf_file string, block_idx int, page_idx int, text string, n_parts int, block_id {blocks.schema['block_id'].dataType.simpleString()}")
 
 
 def strip_quotes(c: Column) -> Column:
@@ -140,14 +158,43 @@ def repair_digits(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?<=\d)[oO](?=\d)", "0"), r"(?<=\d)[lI](?=\d)", "1")
 
 
+def join_broken(blocks: DataFrame) -> DataFrame:
+    """The blocks with broken texts joined: the first block of a chain holds its text, the others go."""
+    blocks = cut_lineage(blocks)
+    merged = merge_broken(blocks).select("pdf_file", "block_idx", "block_id", F.col("text").alias("_text"))
+    plain = F.coalesce((F.col("block_type") == "text") & F.col("text_level").isNull(), F.lit(False))
+    rows = blocks.join(merged, ["pdf_file", "block_idx", "block_id"], "left").filter(~plain | F.col("_text").isNotNull())
+    return rows.withColumn("text", F.when(plain & F.col("text").isNotNull(), F.col("_text")).otherwise(F.col("text"))).drop("_text")
+
+
+#: The rules in their fixed order: name, and the rule given blocks and the page counts from before them.
+RULES = (
+    ("trivial", lambda b, p: drop_trivial(b)), ("authors", lambda b, p: drop_authors(b)), ("short", lambda b, p: drop_short(b)), ("runners", lambda b, p: drop_runners(b, pages=p)), ("disclaimer", lambda b, p: cut_disclaimer(b, pages=p)),
+    ("contents", lambda b, p: drop_contents(b)), ("broken", lambda b, p: join_broken(b)), ("captions", lambda b, p: attach_captions(b)),
+)
+
+
 def clean_blocks(blocks: DataFrame) -> DataFrame:
-    """The whole sequence of the rules, in their fixed order, up to caption attachment."""
+    """All rules in their fixed order: quote marks, types, authors, short texts, runners, disclaimers, contents, broken texts, captions, digits. Pages are counted before any block goes."""
     rows = in_order(blocks)
+    pages = page_counts(rows)
     rows = rows.withColumn("text", strip_quotes(F.col("text")))
-    rows = drop_runners(drop_short(drop_authors(drop_trivial(rows))))
-    rows = drop_contents(cut_disclaimer(rows))
-    rows = rows.withColumn("text", repair_digits(F.col("text"))).withColumn("table_body", repair_digits(F.col("table_body")))
-    return attach_captions(rows)
+    for _, rule in RULES:
+        rows = rule(rows, pages)
+    return rows.withColumn("text", repair_digits(F.col("text"))).withColumn("table_body", repair_digits(F.col("table_body")))
+
+
+def cleaning_summary(blocks: DataFrame) -> DataFrame:
+    """(step, rule, n_before, n_removed, share): how many blocks each rule of the sequence takes away; each is counted after the rules before it, which are written once."""
+    rows = in_order(blocks)
+    pages, out = page_counts(rows), None
+    rows = cut_lineage(rows.withColumn("text", strip_quotes(F.col("text"))))
+    for i, (name, rule) in enumerate(RULES):
+        after = cut_lineage(rule(rows, pages))
+        own = rows.agg(F.count(F.lit(1)).alias("n_before")).join(after.agg(F.count(F.lit(1)).alias("n_after")))
+        own = own.select(F.lit(i).alias("step"), F.lit(name).alias("rule"), "n_before", (F.col("n_before") - F.col("n_after")).alias("n_removed"), F.coalesce(F.round(F.try_divide(F.col("n_before") - F.col("n_after"), F.col("n_before")), 6), F.lit(0.0)).alias("share"))
+        out, rows = own if out is None else out.unionByName(own), after
+    return out
 
 
 def sections(blocks: DataFrame) -> DataFrame:

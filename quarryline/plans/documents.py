@@ -54,6 +54,11 @@ def cleaned_blocks(spark: SparkSession, root: str) -> DataFrame:
     return B.clean_blocks(read_table(spark, root, "content_list")).select("block_id", "block_type", "text", "table_body")
 
 
+def cleaning_summary(spark: SparkSession, root: str) -> DataFrame:
+    """What each rule of the cleaning takes away."""
+    return B.cleaning_summary(read_table(spark, root, "content_list"))
+
+
 def repaired_digits(spark: SparkSession, root: str) -> DataFrame:
     """Texts in which letters between digits are digits."""
     rows = _blocks(spark, root).filter("text is not null")
@@ -116,7 +121,7 @@ def text_paragraphs(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        runner_free_blocks, body_blocks, before_disclaimer, without_contents, without_authors, merged_texts, captioned_blocks, cleaned_blocks, repaired_digits, document_sections, section_windows, section_tables, markdown_tables, html_table_facts, table_packs, table_runs,
+        runner_free_blocks, body_blocks, before_disclaimer, without_contents, without_authors, merged_texts, captioned_blocks, cleaned_blocks, cleaning_summary, repaired_digits, document_sections, section_windows, section_tables, markdown_tables, html_table_facts, table_packs, table_runs,
         residue_free_texts, noise_lines, text_paragraphs,
     )
 }
