@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarryline.operators import relational
 from quarryline.operators import retrieval as R
@@ -106,7 +107,7 @@ def sparse_row(indices: Column, values: Column) -> Column:
     return F.map_from_entries(F.filter(total, lambda x: x["value"] != 0))
 
 
-@F.pandas_udf("array<struct<key:string,value:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.DoubleType())])))
 def counted_words(words: pd.Series) -> pd.Series:
     """Words of each row as sorted entries (word, 1 + ln(times)); in Arrow batches, as counting within a row by expressions takes time by the square of its words."""
     return words.map(lambda ws: [{"key": w, "value": 1 + math.log(n)} for w, n in sorted(Counter(ws).items())])

@@ -18,8 +18,7 @@ def test_query(spark, data, name):
     if name in SQL:
         compare(spark, data, query, SQL[name])
     else:
-        df = query(spark, data)
-        assert df.count() >= 0 and df.columns
+        assert len(query(spark, data).collect()) > 0
 
 
 def test_sql_has_queries():
