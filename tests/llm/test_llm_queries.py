@@ -13,7 +13,8 @@ def test_query(spark, data, name):
     if name in Q.SQL:
         compare(spark, data, Q.QUERIES[name], Q.SQL[name])
     else:
-        assert Q.QUERIES[name](spark, data).count() >= 0
+        got = Q.QUERIES[name](spark, data).collect()
+        assert len(got) > 0
 
 
 @pytest.mark.parametrize("name", sorted(FOUND))
