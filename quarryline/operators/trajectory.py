@@ -200,9 +200,14 @@ def shows_arithmetic(answer: Column) -> Column:
     return found
 
 
-def needs_calculation(question: Column, answer: Column) -> Column:
-    """Whether a question asks for arithmetic, or its answer shows some."""
-    return any_word(question, CALCULATION_WORDS) | shows_arithmetic(answer)
+#: The kind of question for which weaker words of comparison ask for arithmetic too, and these.
+COMPARING, WEAK_WORDS = "company_comparison", ("差距", "差值", "差多少", "高出", "低出", "量化", "计算", "测算")
+
+
+def needs_calculation(question: Column, answer: Column, kind: Column | None = None) -> Column:
+    """Whether a question asks for arithmetic (in a comparison by weaker words too), or its answer shows some."""
+    out = any_word(question, CALCULATION_WORDS) | shows_arithmetic(answer)
+    return out if kind is None else out | (F.coalesce(kind == COMPARING, F.lit(False)) & any_word(question, WEAK_WORDS))
 
 
 def calculation_score(needed: Column, answer: Column, expressions: Column, results: Column) -> Column:
@@ -215,6 +220,11 @@ def calculation_score(needed: Column, answer: Column, expressions: Column, resul
     return F.when(needed & used, F.when(F.size(worked) > 0, quality).otherwise(0.0)).when(needed, 0.0).when(used, F.when(F.size(worked) == 0, 0.0).when(again, 0.5).otherwise(0.45)).otherwise(0.5)
 
 
+def combined_reward(parts: Sequence[tuple[float, Column]], penalty: Column, overlong: Column, gate: Column, declined: Column) -> Column:
+    """The reward of a trajectory: that of its form where it rules out any other, else that of declining where that was right, else the weighted scores with their penalties; declining knows no penalty."""
+    return F.coalesce(gate, declined, total_score(parts, penalty, overlong))
+
+
 def declining_score(answer: Column, n_steps: Column) -> Column:
     """For questions to decline: 1 for a refusal with at most one call, a quarter less for each further, at least a quarter; 0 without a refusal."""
     return F.when(any_word(answer, DECLINING), F.when(n_steps <= 1, 1.0).when(n_steps == 2, 0.75).when(n_steps == 3, 0.5).otherwise(0.25)).otherwise(0.0)

@@ -159,7 +159,7 @@ def sample_scores(spark: SparkSession, root: str) -> DataFrame:
     steps = F.coalesce("steps", F.array().cast("array<struct<step_no:int,tool:string,query:string,observation:string>>"))
     rows = one.join(grouped, "sample_id", "left").withColumn("steps", steps)
     made = F.filter("steps", lambda s: s["tool"] == "calculate")
-    calculation = T.calculation_score(T.needs_calculation(F.col("question"), F.col("answer")), F.col("answer"), F.transform(made, lambda s: s["query"]), F.transform(made, lambda s: s["observation"]))
+    calculation = T.calculation_score(T.needs_calculation(F.col("question"), F.col("answer"), F.col("question_type")), F.col("answer"), F.transform(made, lambda s: s["query"]), F.transform(made, lambda s: s["observation"]))
     search = F.filter("steps", lambda s: s["tool"] != "calculate")
     queries = F.when(F.size(search) > 0, F.aggregate(F.transform(search, lambda s: T.length_score(s["query"])), F.lit(0.0), lambda a, x: a + x) / F.size(search)).otherwise(0.0)
     total = T.total_score([(0.5, queries), (0.5, calculation)], T.call_penalty(F.col("steps"), TOOLS), T.overlong_penalty(F.col("answer")))
