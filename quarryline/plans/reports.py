@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.calculator import calculate, calculate_value
 from quarryline.functions.text import amount, cut_at, iso_date, number2, present, safe_text, strip_u
-from quarryline.operators import chunking, facts, relational, trajectory
+from quarryline.operators import chunking, facts, indexing, relational, trajectory
+from quarryline.operators.retrieval import search_words
 from quarryline.sources import read_table
 
 SINCE = "2024-01-01"
@@ -108,17 +109,20 @@ def chunk_methods(spark: SparkSession, root: str) -> DataFrame:
 
 
 def index_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks as rows of an index: texts cut to the columns' widths, nulls as empty or -1."""
-    chunks = read_table(spark, root, "all_chunks").filter("chunk_id is not null")
-    texts = {"source_type": 32, "stock_code": 16, "stock_name": 64, "institution": 128, "report_date": 16, "current_section": 40}
-    return chunks.select("chunk_id", F.substring("text", 1, 200).alias("text"), *(F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c) for c, n in texts.items()), *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("page_idx", "chunk_index"))).distinct()
+    """Chunks as rows of an index, with all its fields in their widths."""
+    return indexing.index_rows(read_table(spark, root, "all_chunks").withColumnRenamed("report_date", "date"))
 
 
-def index_rows_whole(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks as rows of an index with the reference's widths; rows are distinct before anything is cut."""
-    widths = {"source_type": 32, "chunk_method": 32, "stock_code": 16, "stock_name": 64, "institution": 128, "report_date": 24, "industry": 64, "rating": 32, "report_title": 256, "pdf_file": 256, "current_section": 256}
-    chunks = read_table(spark, root, "all_chunks").filter("chunk_id is not null").select("chunk_id", "text", *widths, "page_idx", "chunk_index").distinct()
-    return chunks.select(F.substring("chunk_id", 1, 256).alias("chunk_id"), F.substring("text", 1, 4096).alias("text"), *(F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c) for c, n in widths.items()), *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("page_idx", "chunk_index")))
+def indexed_reports(spark: SparkSession, root: str) -> DataFrame:
+    """The first 100 index rows of two industries' reports: the limit is the feature."""
+    wanted = {"source_type": "report", "industry": ["医药", "能源"]}
+    return indexing.scan_index(index_rows(spark, root), wanted, ["chunk_id", "stock_code", "industry", "date"], 100)
+
+
+def word_frequencies(spark: SparkSession, root: str) -> DataFrame:
+    """In how many documents each word stands."""
+    documents = read_table(spark, root, "documents").filter("text is not null")
+    return indexing.postings(documents, "doc_id", search_words(F.col("text")))[1]
 
 
 def indicator_facts(spark: SparkSession, root: str) -> DataFrame:
@@ -190,7 +194,7 @@ def calculations(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        newest_reports, reports_since, report_files, stock_industry, major_industry, unreported_stocks, merged_crawls, latest_ratings, rating_counts, title_aliases, industry_aliases, report_chunks, report_forecasts, chunk_statistics, chunk_methods, index_rows, index_rows_whole,
+        newest_reports, reports_since, report_files, stock_industry, major_industry, unreported_stocks, merged_crawls, latest_ratings, rating_counts, title_aliases, industry_aliases, report_chunks, report_forecasts, chunk_statistics, chunk_methods, index_rows, indexed_reports, word_frequencies,
         indicator_facts, indicators_with_prior, latest_annual, peer_comparison, return_checks, order_amounts, clean_names, result_lines, fixed_window_chunks, sliding_window_chunks, calculations,
     )
 }
@@ -205,6 +209,15 @@ WITH f AS (SELECT DISTINCT chunk_id, stock_code, stock_name, industry, TRY_CAST(
 p AS (SELECT chunk_id, stock_code, stock_name, industry, day, unnest(string_split(body, '，')) AS part FROM f WHERE day IS NOT NULL),
 i AS (SELECT *, strftime(day, '%m-%d') AS season, year(day) AS year, regexp_extract(part, '^(.*?)-?\d', 1) AS metric, TRY_CAST(regexp_extract(part, '(-?\d+(?:\.\d+)?)(?:%|亿元|元|次|天)*$', 1) AS DOUBLE) AS value, regexp_extract(part, '\d(%|亿元|元|次|天)$', 1) AS unit FROM p)
 """
+_HELD = {"chunk_method": 32, "stock_code": 16, "stock_name": 64, "institution": 128, "industry": 64, "rating": 32, "report_title": 256, "pdf_file": 256, "current_section": 256}
+_LACKING = ("parser", "data_type", "table_type", "header_type", "parent_id", "parent_md", "table_caption", "table_footnote", "section_id", "section_title", "section_text", "stock_codes")
+_INDEX = (
+    "WITH d AS (SELECT DISTINCT chunk_id, text, source_type, report_date, page_idx, chunk_index, "
+    + ", ".join(_HELD)
+    + " FROM all_chunks WHERE chunk_id IS NOT NULL), x AS (SELECT chunk_id[1:256] AS chunk_id, coalesce(text, '')[1:4096] AS text, coalesce(source_type, 'unknown')[1:32] AS source_type, coalesce(report_date, '')[1:24] AS date, coalesce(page_idx, -1) AS page_idx, coalesce(chunk_index, -1) AS chunk_index, -1 AS company_count, "
+    + ", ".join([f"coalesce({c}, '')[1:{n}] AS {c}" for c, n in _HELD.items()] + [f"'' AS {c}" for c in _LACKING])
+    + " FROM d) "
+)
 SQL = {
     "newest_reports": _R + "SELECT stock_code, report_id, day, rank FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY day DESC, report_id) AS rank FROM r WHERE day IS NOT NULL AND stock_code IS NOT NULL) WHERE rank <= 5",
     "reports_since": _R + "SELECT report_id, day FROM r WHERE day >= DATE '2024-01-01'",
@@ -231,8 +244,9 @@ SELECT report_id, 'report_' || coalesce(stock_code, '') || '_' || dk || '_' || c
     "report_forecasts": "SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT report_id, {y} AS year, CASE WHEN isnan(eps_{y}) THEN NULL ELSE eps_{y} END AS eps, CASE WHEN isnan(pe_{y}) THEN NULL ELSE pe_{y} END AS pe FROM all_reports WHERE report_id IS NOT NULL" for y in (2025, 2026, 2027)) + ") WHERE eps IS NOT NULL OR pe IS NOT NULL",
     "chunk_statistics": "SELECT source_type, count(*) AS n_chunks, count(DISTINCT CASE WHEN stock_code <> '' THEN stock_code END) AS n_stocks, round(avg(length(text)), 4) AS mean_length FROM (SELECT DISTINCT chunk_id, source_type, stock_code, text FROM all_chunks) GROUP BY 1",
     "chunk_methods": "SELECT source_type, chunk_method, count(*) AS n_chunks FROM (SELECT DISTINCT chunk_id, source_type, chunk_method FROM all_chunks) WHERE chunk_method IS DISTINCT FROM 'table_row_fact' GROUP BY 1, 2",
-    "index_rows": "SELECT DISTINCT chunk_id, text[1:200] AS text, coalesce(source_type, '')[1:32] AS source_type, coalesce(stock_code, '')[1:16] AS stock_code, coalesce(stock_name, '')[1:64] AS stock_name, coalesce(institution, '')[1:128] AS institution, coalesce(report_date, '')[1:16] AS report_date, coalesce(current_section, '')[1:40] AS current_section, coalesce(page_idx, -1) AS page_idx, coalesce(chunk_index, -1) AS chunk_index FROM all_chunks WHERE chunk_id IS NOT NULL",
-    "index_rows_whole": "WITH c AS (SELECT DISTINCT chunk_id, text, source_type, chunk_method, stock_code, stock_name, institution, report_date, industry, rating, report_title, pdf_file, current_section, page_idx, chunk_index FROM all_chunks WHERE chunk_id IS NOT NULL) SELECT chunk_id[1:256] AS chunk_id, text[1:4096] AS text, coalesce(source_type, '')[1:32] AS source_type, coalesce(chunk_method, '')[1:32] AS chunk_method, coalesce(stock_code, '')[1:16] AS stock_code, coalesce(stock_name, '')[1:64] AS stock_name, coalesce(institution, '')[1:128] AS institution, coalesce(report_date, '')[1:24] AS report_date, coalesce(industry, '')[1:64] AS industry, coalesce(rating, '')[1:32] AS rating, coalesce(report_title, '')[1:256] AS report_title, coalesce(pdf_file, '')[1:256] AS pdf_file, coalesce(current_section, '')[1:256] AS current_section, coalesce(page_idx, -1) AS page_idx, coalesce(chunk_index, -1) AS chunk_index FROM c",
+    "index_rows": _INDEX + "SELECT * FROM x",
+    "indexed_reports": _INDEX + "SELECT chunk_id, stock_code, industry, date FROM x WHERE source_type = 'report' AND industry IN ('医药', '能源') ORDER BY chunk_id LIMIT 100",
+    "word_frequencies": r"WITH h AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '(\p{Han}+)', ' \1 ', 'g'), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, flatten(list_transform(ws, lambda w: CASE WHEN regexp_matches(w, '^\p{Han}{2}') THEN list_transform(range(1, length(w)), lambda i: w[i:i + 1]) ELSE [w] END)) AS ws FROM h) SELECT word, count(DISTINCT doc_id) AS n_documents FROM (SELECT doc_id, unnest(ws) AS word FROM d) GROUP BY 1",
     "indicator_facts": _I + "SELECT chunk_id, metric, value, unit FROM i WHERE metric <> '' AND value IS NOT NULL",
     "indicators_with_prior": _I
     + ", o AS (SELECT stock_code, season, year, metric, arg_max(value, chunk_id) AS value, arg_max(unit, chunk_id) AS unit FROM i WHERE metric <> '' AND value IS NOT NULL GROUP BY ALL) SELECT o.stock_code, o.season, o.year, o.metric, o.value, b.value AS prior_value, o.metric || format('{:.2f}', o.value) || o.unit || CASE WHEN b.value IS NULL THEN '' ELSE '（上年同期' || format('{:.2f}', b.value) || o.unit || '）' END AS text FROM o LEFT JOIN o b ON b.stock_code = o.stock_code AND b.season = o.season AND b.metric = o.metric AND b.year = o.year - 1",
