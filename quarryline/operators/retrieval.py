@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.checkpoints import cut_lineage
+from quarryline.functions.joins import join_small
+from quarryline.operators.ranking import HOT_GROUP_ROWS, hot_groups, rank_in_buckets
 
 #: Queries of a table that are broadcast at once, and rows scored against them at once.
 QUERY_BLOCK, SCORED_ROWS = 1_024, 2_000
@@ -218,9 +220,18 @@ def latest_scores(hits: DataFrame, small_is_good: Sequence[str] = ("l2_dist",))
     return last.select("query_id", "chunk_id", "retriever", F.when(F.col("retriever").isin(*small_is_good), -F.col("x.score")).otherwise(F.col("x.score")).alias("good"))
 
 
-def ranked_lists(scores: DataFrame) -> DataFrame:
-    """Adds ``rank`` from 1 within each query and retriever; ties by chunk."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "retriever").orderBy(F.desc("good"), "chunk_id")))
+LIST = ("query_id", "retriever")
+
+
+def ranked_lists(scores: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Adds ``rank`` from 1 within each query and retriever; ties by chunk. Lists of more than ``hot_rows`` rows are ranked in buckets of their scores, the others by one sort; lists are counted first."""
+    own = Window.partitionBy(*LIST).orderBy(F.desc("good"), "chunk_id")
+    hot = hot_groups(scores, LIST, hot_rows)
+    if not hot.limit(1).count():
+        return scores.withColumn("rank", F.row_number().over(own))
+    cold = scores.join(hot, list(LIST), "left_anti").withColumn("rank", F.row_number().over(own))
+    large = rank_in_buckets(scores.join(hot, list(LIST), "left_semi").withColumn("_bad", -F.col("good")), LIST, "_bad", ["chunk_id"])
+    return cold.unionByName(large.withColumn("rank", (F.col("_less") + 1).cast("int")).select(cold.columns)).select(*scores.columns, "rank")
 
 
 def reciprocal_rank_fusion(ranked: DataFrame, k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
@@ -232,10 +243,10 @@ def reciprocal_rank_fusion(ranked: DataFrame, k: int = 60, weights: dict[str, fl
 
 
 def min_max(scores: DataFrame, constant: float = 0.0) -> DataFrame:
-    """Adds ``scaled``: the score between 0 and 1 within query and retriever; ``constant`` where all are equal."""
-    own = Window.partitionBy("query_id", "retriever")
-    low, high = F.min("good").over(own), F.max("good").over(own)
-    return scores.withColumn("scaled", F.when(high > low, (F.col("good") - low) / (high - low)).otherwise(F.lit(constant)))
+    """Adds ``scaled``: the score between 0 and 1 within query and retriever; ``constant`` where all are equal. The bounds of a list are aggregated before they are joined, with hot lists spread by chunk."""
+    bounds = scores.groupBy(*LIST).agg(F.min("good").alias("_low"), F.max("good").alias("_high"))
+    rows = join_small(scores, bounds, LIST, ["chunk_id"])
+    return rows.withColumn("scaled", F.when(F.col("_high") > F.col("_low"), (F.col("good") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(F.lit(constant))).select(*scores.columns, "scaled")
 
 
 def weighted_fusion(scores: DataFrame, weights: dict[str, float], constant: float = 0.0) -> DataFrame:
@@ -305,3 +316,22 @@ def expand_parents(hits: DataFrame, parents: DataFrame, query: str = "query_id",
     grouped = rows.groupBy(query, parent).agg(F.max("score").alias("score"), F.min("position").alias("first_position"), F.array_sort(F.collect_list(F.struct("position", F.regexp_replace("text", r"\s+", " ").alias("t")))).alias("_c"))
     named = grouped.join(parents.select(parent, "parent_text"), parent, "left")
     return named.select(query, parent, "score", "first_position", "parent_text", F.array_join(F.transform("_c", lambda x: x["t"]), "\n").alias("children"))
+
+
+def expand_results(hits: DataFrame, tables: DataFrame, sections: DataFrame) -> DataFrame:
+    """Hits with their parents in place of them: children of one table as one row, headed by its caption and page, those of one section as one row, others as they are.
+
+    ``hits`` has query_id, chunk_id, position, score, text, parent_id and section_id; ``tables`` parent_id, table_caption, page_idx and table_md; ``sections`` section_id and section_text. A row has the best score of its
+    children and the place of the first; their texts stand below the parent's, one line each. Rows are ordered by score, then by place. A parent that isn't there leaves the children for themselves.
+
+    Returns query_id, slot, kind (table, section or chunk), parent, score, text.
+    """
+    known = hits.join(tables.select("parent_id", F.lit(True).alias("_t")).distinct(), "parent_id", "left").join(sections.select("section_id", F.lit(True).alias("_s")).distinct(), "section_id", "left")
+    kind = F.when(F.col("_t"), "table").when(F.col("_s"), "section").otherwise("chunk")
+    rows = known.select("query_id", "position", "score", kind.alias("kind"), F.when(F.col("_t"), F.col("parent_id")).when(F.col("_s"), F.col("section_id")).otherwise(F.col("chunk_id")).alias("parent"), F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ").alias("line"), "text")
+    grouped = rows.groupBy("query_id", "kind", "parent").agg(F.max("score").alias("score"), F.min("position").alias("at"), F.array_sort(F.collect_list(F.struct("position", "line"))).alias("_c"), F.min_by("text", "position").alias("_own"))
+    lines = F.array_join(F.transform("_c", lambda x: x["line"]), "\n")
+    head = F.concat(F.lit("【表格"), F.when(F.coalesce("table_caption", F.lit("")) != "", F.concat(F.lit(" · "), F.col("table_caption"))).otherwise(F.lit("")), F.when(F.col("page_idx") >= 0, F.concat(F.lit(" · 第 "), (F.col("page_idx") + 1).cast("string"), F.lit(" 页"))).otherwise(F.lit("")), F.lit("】"))
+    named = grouped.join(tables.select(F.col("parent_id").alias("parent"), head.alias("_h"), "table_md").withColumn("kind", F.lit("table")), ["kind", "parent"], "left").join(sections.select(F.col("section_id").alias("parent"), "section_text").withColumn("kind", F.lit("section")), ["kind", "parent"], "left")
+    text = F.when(F.col("kind") == "table", F.concat_ws("\n", "_h", "table_md", lines)).when(F.col("kind") == "section", F.concat_ws("\n", "section_text", lines)).otherwise(F.col("_own"))
+    return named.withColumn("slot", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "at"))).select("query_id", "slot", "kind", "parent", "score", text.alias("text"))

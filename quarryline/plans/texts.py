@@ -12,6 +12,7 @@ from quarryline.operators import figures as G
 from quarryline.operators import tools as U
 from quarryline.operators import trajectory as T
 from quarryline.plans import documents as D
+from quarryline.plans import retrieval as R
 from quarryline.plans.reports import _I
 from quarryline.plans.retrieval import TOOLS
 from quarryline.plans.selection import STEPS
@@ -128,10 +129,42 @@ def generated_runs(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("sample_id", F.explode("r").alias("x")).select("sample_id", "x.start", "x.end")
 
 
+def _answers(spark: SparkSession, root: str) -> DataFrame:
+    """Each sample's completion as one text with tags, of the latest row."""
+    calls = lambda m: F.array_join(F.transform(m["tool_calls"], lambda c: F.concat(F.lit("<tool_call>"), c["func"]["name"], F.lit("</tool_call>"))), "")
+    piece = lambda m: F.when(m["role"] == "tool", F.concat(F.lit("<tool_response>"), F.coalesce(m["content"], F.lit("")), F.lit("</tool_response>"))).when(m["role"] == "assistant", F.concat(F.coalesce(m["content"], F.lit("")), F.coalesce(calls(m), F.lit("")))).otherwise(F.lit(""))
+    return T.latest_samples(read_table(spark, root, "sft_data")).filter("messages is not null").select("sample_id", F.array_join(F.transform("messages", piece), "").alias("completion"))
+
+
+def final_answers(spark: SparkSession, root: str) -> DataFrame:
+    """What each completion answers at last, by its length and hash."""
+    answer = T.final_answer(F.col("completion"))
+    return _answers(spark, root).select("sample_id", F.length(answer).alias("n_chars"), F.md5(answer).alias("answer_hash"))
+
+
+def split_thoughts(spark: SparkSession, root: str) -> DataFrame:
+    """Final answers that begin with a thought, cut from it."""
+    parts = T.split_thought(T.final_answer(F.col("completion")), ("综合", "值得", "我们", "按照", "如果"))
+    return _answers(spark, root).select("sample_id", F.length(parts["thought"]).alias("n_thought"), F.length(parts["answer"]).alias("n_answer"))
+
+
+def gated_issues(spark: SparkSession, root: str) -> DataFrame:
+    """Which samples pass the gate of issues: a point off for each, and none that is critical."""
+    issues = T.validate(read_table(spark, root, "sft_data"), TOOLS).filter("errors <> ''").select("sample_id", F.explode(F.split("errors", ",")).alias("issue"))
+    return T.passes_gate(issues.select("sample_id", F.lit(1.0).alias("penalty"), F.col("issue").isin("answer", "steps").alias("critical")), "sample_id")
+
+
+def table_children(spark: SparkSession, root: str) -> DataFrame:
+    """Facts of HTML tables as chunks of their table."""
+    found = chunking.table_facts(read_table(spark, root, "content_list").filter("table_body like '%<t%'"), "block_id", "table_body")
+    parents = found.groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "fact"))), lambda x: x["fact"]).alias("facts")).withColumn("narrative", F.concat_ws("；", "facts"))
+    return chunking.child_chunks(parents.withColumn("block_id", F.col("block_id").cast("string")), "block_id", "narrative", "facts")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        profit_texts, structure_texts, return_texts, table_records, headed_windows, windows_with_section, table_aware_pieces, image_free_chunks, tool_inputs, dispatched_calls, rebuilt_histories, prompt_texts, trainable_samples, generated_runs,
+        profit_texts, structure_texts, return_texts, table_records, headed_windows, windows_with_section, table_aware_pieces, image_free_chunks, tool_inputs, dispatched_calls, rebuilt_histories, prompt_texts, trainable_samples, generated_runs, final_answers, split_thoughts, gated_issues, table_children,
     )
 }
 
@@ -157,6 +190,13 @@ _STRUCTURE = f"concat_ws('，', {_t('资产负债率', 'debt', '%', 'debt0')}, {
 _PRODUCT = "(net / 100 * turn * mul * 100)"
 _RETURN = f"concat_ws('，', {_t('净资产收益率(ROE)', 'roe', '%', 'roe0')}, {_t('销售净利率', 'net', '%', 'net0')}, {_t('总资产周转率', 'turn', '次', 'turn0')}, {_t('权益乘数', 'mul', '倍', 'mul0')}, '杜邦验算ROE≈' || format('{{:.2f}}', {_PRODUCT}) || '%（净利率×周转率×权益乘数）' || CASE WHEN abs({_PRODUCT} - roe) > 1 THEN '，与报告ROE（' || format('{{:.2f}}', roe) || '%）存在' || format('{{:.2f}}', abs({_PRODUCT} - roe)) || '个百分点差异，可能源于加权平均口径差异' ELSE '' END)"
 _G = STEPS + ", sm AS (SELECT sample_id, arg_max(question, created_at) AS question FROM sft_data WHERE sample_id IS NOT NULL GROUP BY 1 HAVING arg_max(question, created_at) IS NOT NULL)"
+_EDGES = r"^[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+|[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+$"
+_FINAL = (
+    "WITH s AS (SELECT sample_id, arg_max(messages, created_at) AS ms FROM sft_data WHERE sample_id IS NOT NULL AND messages IS NOT NULL GROUP BY 1), "
+    "c AS (SELECT sample_id, array_to_string(list_transform(ms, lambda m: CASE WHEN m.role = 'tool' THEN '<tool_response>' || coalesce(m.content, '') || '</tool_response>' WHEN m.role = 'assistant' THEN coalesce(m.content, '') || coalesce(array_to_string(list_transform(m.tool_calls, lambda x: '<tool_call>' || x.func.name || '</tool_call>'), ''), '') ELSE '' END), '') AS t FROM s), "
+    "b AS (SELECT sample_id, regexp_replace(string_split(t, '<tool_call>')[-1], '</tool_call>|<[|]im_end[|]>|<[|]im_start[|]>', '', 'g') AS t FROM c), "
+    f"fa AS (SELECT sample_id, regexp_replace(CASE WHEN contains(t, '<tool_response>') THEN string_split(t, '</tool_response>')[-1] ELSE t END, '{_EDGES}', '', 'g') AS a FROM b) "
+)
 _SECTIONS = D.SQL["section_windows"].split("SELECT pdf_file, section_no, row_number()")[0].rstrip() + ", windows AS (SELECT pdf_file, section_no, row_number()" + D.SQL["section_windows"].split("SELECT pdf_file, section_no, row_number()", 2)[-1] + ") "
 SQL = {
     "profit_texts": _P + f"SELECT stock_code, year, season, header || '盈利与成长指标，' || {_PROFIT} || '。' AS text FROM y WHERE {_PROFIT} <> ''",
@@ -182,4 +222,11 @@ WITH b AS (SELECT DISTINCT block_id, pdf_file, block_idx, block_type, text, text
 h AS (SELECT *, last_value(CASE WHEN block_type = 'text' AND text_level = 1 AND length(t) >= 3 AND NOT regexp_matches(t, '^(分析师|研究员|联系人|证券分析师|首席分析师)\s*[:：]\s*\S{2,6}$|^(强烈推荐|买入|增持|中性|回避|卖出)|^\d{4}\s*年\s*\d{1,2}\s*月') THEN t END IGNORE NULLS) OVER (PARTITION BY pdf_file ORDER BY block_idx, block_id ROWS UNBOUNDED PRECEDING) AS section FROM b),
 r AS (SELECT *, row_number() OVER (PARTITION BY pdf_file ORDER BY block_idx, block_id) AS n FROM h WHERE block_type = 'table' AND table_body <> '')
 SELECT pdf_file || '_t' || n AS parent_id, pdf_file, page_idx, coalesce(section, '') AS current_section, array_to_string(coalesce(table_caption, []), ' ') AS table_caption, array_to_string(coalesce(table_footnote, []), ' ') AS table_footnote, stock_code, institution, report_title FROM r LEFT JOIN pdf_map USING (pdf_file)""",
+    "final_answers": _FINAL + "SELECT sample_id, length(a) AS n_chars, md5(a) AS answer_hash FROM fa",
+    "split_thoughts": _FINAL
+    + f", p AS (SELECT *, strpos(a, chr(10) || chr(10)) AS k, regexp_replace(substr(a, strpos(a, chr(10) || chr(10)) + 2), '{_EDGES}', '', 'g') AS rest FROM fa), t AS (SELECT *, k > 0 AND regexp_matches(rest, '^(综合|值得|我们|按照|如果)') AS cut FROM p) SELECT sample_id, CASE WHEN cut THEN length(regexp_replace(a[1:k - 1], '{_EDGES}', '', 'g')) END AS n_thought, CASE WHEN cut THEN length(rest) ELSE length(a) END AS n_answer FROM t",
+    "gated_issues": R.SQL["validated_samples"].rsplit("SELECT sample_id, errors, errors = ''", 1)[0]
+    + " SELECT sample_id, 5.0::DOUBLE - len(string_split(errors, ',')) AS score, len(string_split(errors, ',')) <= 1 AND NOT list_has_any(string_split(errors, ','), ['answer', 'steps']) AS passes FROM e WHERE errors <> ''",
+    "table_children": D.SQL["html_table_facts"].rsplit("SELECT block_id, row_no", 1)[0]
+    + ", z AS (SELECT block_id::VARCHAR AS block_id, row_no, array_to_string(pairs, '，') AS fact, row_number() OVER (PARTITION BY block_id ORDER BY row_no, array_to_string(pairs, '，')) - 1 AS i FROM f WHERE len(pairs) >= 2) SELECT block_id || '_r' || i AS chunk_id, block_id, 'table_row_fact' AS chunk_method, fact AS text FROM z WHERE length(fact) >= 10 UNION ALL SELECT block_id || '_n', block_id, 'table_narrative', n FROM (SELECT block_id, string_agg(fact, '；' ORDER BY i) AS n FROM z GROUP BY 1) WHERE length(n) >= 30",
 }

@@ -192,6 +192,13 @@ def test_fusion_ignores_monotone_changes(spark):
     assert fused(base) == fused([(q, c, s, x**3 + 5, t) for q, c, s, x, t in base])
 
 
+def test_hot_lists_are_ranked_alike(spark):
+    r = random.Random(4)
+    items = [(r.choice([1, 1, 1, 2]), f"c{i}", r.choice("ab"), r.choice([0.5, 1.5, r.random()])) for i in range(120)]
+    df = spark.createDataFrame(items, "query_id long, chunk_id string, retriever string, good double")
+    assert rows(R.ranked_lists(df)) == rows(R.ranked_lists(df, 20)) == rows(R.ranked_lists(df, 0)) and R.ranked_lists(df.limit(0)).count() == 0
+
+
 def test_budget(spark):
     items = [(1, f"c{i}", "d" if i < 5 else None, i, "x" * (50 if i else 500)) for i in range(9)]
     got = R.within_budget(spark.createDataFrame(items, "q long, c string, d string, p int, t string"), "q", "d", "p", "t", 3, 620, 9).orderBy("slot").collect()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarryline.operators import blocks as B
 from quarryline.operators import chunking as C
 from quarryline.operators import figures as G
+from quarryline.operators import retrieval as R
 from quarryline.operators import search as P
 from quarryline.operators import tools as U
 
@@ -124,3 +125,11 @@ def test_page_counts_come_before_the_rules(spark):
     df = spark.createDataFrame([(i, "d", i, *x, None) for i, x in enumerate(broken)], df.schema)
     got = {r.block_id: r.text for r in B.clean_blocks(df).collect()}
     assert got[0] == "公司的营业收入同比大幅增长，但利润有所下降，还要再看一个季度。" and 1 not in got
+
+
+def test_parents_of_two_kinds(spark):
+    hits = spark.createDataFrame([(1, "c1", 1, 0.5, "子\n一", "t1", None), (1, "c2", 2, 0.9, "子二", "t1", None), (1, "c3", 3, 0.7, "句", None, "s1"), (1, "c4", 4, 0.7, "独\n立", None, None), (1, "c5", 5, 0.1, "孤", "gone", None)], "query_id long, chunk_id string, position int, score double, text string, parent_id string, section_id string")
+    tables = spark.createDataFrame([("t1", "表1", 4, "| a |")], "parent_id string, table_caption string, page_idx int, table_md string")
+    sections = spark.createDataFrame([("s1", "全节")], "section_id string, section_text string")
+    got = [tuple(r) for r in R.expand_results(hits, tables, sections).orderBy("slot").collect()]
+    assert got == [(1, 1, "table", "t1", 0.9, "【表格 · 表1 · 第 5 页】\n| a |\n子 一\n子二"), (1, 2, "section", "s1", 0.7, "全节\n句"), (1, 3, "chunk", "c4", 0.7, "独\n立"), (1, 4, "chunk", "c5", 0.1, "孤")]
