@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarryline.operators import relational
 from quarryline.operators import retrieval as R
@@ -107,15 +106,18 @@ def sparse_row(indices: Column, values: Column) -> Column:
     return F.map_from_entries(F.filter(total, lambda x: x["value"] != 0))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.DoubleType())])))
-def counted_words(words: pd.Series) -> pd.Series:
-    """Words of each row as sorted entries (word, 1 + ln(times)); in Arrow batches, as counting within a row by expressions takes time by the square of its words."""
-    return words.map(lambda ws: [{"key": w, "value": 1 + math.log(n)} for w, n in sorted(Counter(ws).items())])
+def sparse_texts(documents: DataFrame, key: str, text: str, vector: str = "v") -> DataFrame:
+    """(key, v): each text as a sparse vector, 1 + ln(times) of each of its search words, as sorted entries (key, value). Null keys and texts give no row, a text without words an empty vector.
 
+    Words are counted in Arrow batches, as counting within a row by expressions takes time by the square of its words.
+    """
+    rows = documents.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, R.search_words(F.col(text)).alias("_w"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], vector: [[{"key": w, "value": 1 + math.log(n)} for w, n in sorted(Counter(ws).items())] for ws in b["_w"]]})
 
-def word_weights(text: Column) -> Column:
-    """A text as a sparse vector: 1 + ln(times) of each of its search words, as sorted entries (key, value)."""
-    return counted_words(R.search_words(text))
+    return rows.mapInPandas(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, `{vector}` array<struct<key:string,value:double>>")
 
 
 def observation(results: DataFrame, header: str, empty: str, queries: DataFrame, line: str = "line") -> DataFrame:

@@ -82,13 +82,13 @@ def tool_observations(spark: SparkSession, root: str) -> DataFrame:
 
 def sparse_vectors(spark: SparkSession, root: str) -> DataFrame:
     """Documents as sparse vectors in ascending order of words: how many words, their weight, and the first and last word."""
-    rows = read_table(spark, root, "documents").filter("text is not null").select("doc_id", P.word_weights(F.col("text")).alias("v"))
+    rows = P.sparse_texts(read_table(spark, root, "documents"), "doc_id", "text")
     return rows.select("doc_id", F.size("v").alias("n_words"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["value"]), 6).alias("weight"), F.try_element_at("v", F.lit(1))["key"].alias("first_word"), F.try_element_at("v", F.lit(-1))["key"].alias("last_word"))
 
 
 def sparse_top_all(spark: SparkSession, root: str) -> DataFrame:
     """Nearest documents by inner product of sparse vectors, of every document whose id is divisible by 100."""
-    documents = read_table(spark, root, "documents").filter("text is not null").select("doc_id", P.word_weights(F.col("text")).alias("v"))
+    documents = P.sparse_texts(read_table(spark, root, "documents"), "doc_id", "text")
     queries = documents.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.explode("v").alias("x")).select("query", F.col("x.key").alias("word"), F.col("x.value").alias("weight"))
     return R.sparse_top_k_of(documents, queries, "query", "doc_id", "v", 10)
 

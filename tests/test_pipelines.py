@@ -54,7 +54,9 @@ def test_linear_mix_and_observation(spark):
 def test_sparse_rows(spark):
     r = spark.range(1).select(P.sparse_row(F.array(*map(F.lit, (7, 2, 7, 3))), F.array(*map(F.lit, (1.0, 0.5, 2.0, 0.0)))).alias("v")).first()
     assert list(r.v.items()) == [(2, 0.5), (7, 3.0)]
-    w, e = (r.w for r in spark.createDataFrame([(1, "Margin margin 毛利率"), (2, "")], "i long, t string").coalesce(1).select(P.word_weights(F.col("t")).alias("w")).collect())
+    got = {r.i: r.v for r in P.sparse_texts(spark.createDataFrame([(1, "Margin margin 毛利率"), (2, ""), (3, None), (None, "x")], "i long, t string"), "i", "t").collect()}
+    w, e = got[1], got[2]
+    assert set(got) == {1, 2}
     assert [x.key for x in w] == ["margin", "利率", "毛利"] and abs(w[0].value - 1.6931471805599454) < 1e-9 and e == []
 
 
