@@ -19,13 +19,24 @@ DISCLAIMERS = (
     "免责声明", "分析师声明", "分析师承诺", "证券分析师承诺", "法律声明", "特别声明", "重要声明", "一般声明", "合规声明", "风险提示及免责声明", "重要免责声明", "评级说明", "评级定义", "行业评级体系", "公司投资评级",
     "股票评级", "行业评级", "投资评级", "投资者适当性", "投资者适当性匹配", "分析师简介", "分析师介绍", "研究员简介", "研究员介绍", "Disclaimer", "Disclosure", "Ratings Definitions", "Analyst Stock Ratings",
 )
-TOC = r"(?U)^.{2,40}?\s*[\.…·\s]{3,}\s*\d{1,3}\s*$|^(\d+[\.、]?|[一二三四五六七八九十]、|[IVX]+\.?)\s*.{2,40}?\s+\d{1,3}\s*$|^(目录|插图目录|表格目录|图表目录|附录|Contents)$"
+#: A line of a table of contents: a title with dots, a numbered title with a page, or the heading.
+TOC_DOTTED = r"^.{2,40}?\s*[\.…·\s]{3,}\s*\d{1,3}\s*$"
+TOC_NUMBERED = r"^(\d+[\.、]?|[一二三四五六七八九十]、|[IVX]+\.?)\s*.{2,40}?\s+\d{1,3}\s*$"
+TOC_HEADING = r"^(目录|插图目录|表格目录|图表目录|附录|Contents)$"
+TOC = f"(?U){TOC_DOTTED}|{TOC_NUMBERED}|{TOC_HEADING}"
 SENTENCE_END = "。！？!?；;\"'」』】)）》〉〕"
 BROKEN_TAIL = "，、：:,\"'“（(《〈〔-—"
 BROKEN_HEAD = "0123456789,，.。;；:：)）】'']」}》〉〕%"
 CAPTION = r"(?U)^(图\s*\d+|表\s*\d+|Figure\s*\d+|Table\s*\d+|资料来源|数据来源)[:：\s]"
 AUTHOR = r"(?U)^(分析师|研究员|联系人|证券分析师|首席分析师)\s*[:：]\s*\S{2,6}$"
-CONTACT = r"(?U)^[\d\-\s()（）]{7,25}[\s一-鿿]*$|^[\w\.\-\+]+@[\w\.\-]+$|^SAC\s*(执业证书)?.{0,6}$|^S\d{10,}$|^(电话|邮箱|执业证书|登记编号|手机|地址|电子邮箱)\s*[:：]\s*.*$|^(电话|邮箱|SAC|联系方式)\s*[:：]?\s*$"
+#: A contact line after an author: a telephone number, an address, a certificate's number, a labelled entry, or a label alone.
+CONTACT_NUMBER = r"^[\d\-\s()（）]{7,25}[\s一-鿿]*$"
+CONTACT_MAIL = r"^[\w\.\-\+]+@[\w\.\-]+$"
+CONTACT_SAC = r"^SAC\s*(执业证书)?.{0,6}$"
+CONTACT_CERTIFICATE = r"^S\d{10,}$"
+CONTACT_ENTRY = r"^(电话|邮箱|执业证书|登记编号|手机|地址|电子邮箱)\s*[:：]\s*.*$"
+CONTACT_LABEL = r"^(电话|邮箱|SAC|联系方式)\s*[:：]?\s*$"
+CONTACT = f"(?U){CONTACT_NUMBER}|{CONTACT_MAIL}|{CONTACT_SAC}|{CONTACT_CERTIFICATE}|{CONTACT_ENTRY}|{CONTACT_LABEL}"
 NOT_A_SECTION = r"(?U)^(分析师|研究员|联系人|证券分析师|首席分析师)\s*[:：]\s*\S{2,6}$|^(强烈推荐|买入|增持|中性|回避|卖出)|^\d{4}\s*年\s*\d{1,2}\s*月"
 
 

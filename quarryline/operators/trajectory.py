@@ -138,28 +138,49 @@ def validate(samples: DataFrame, tools: Sequence[str], most_steps: int = 6, grou
     return rows.select("sample_id", errors.alias("errors")).withColumn("is_valid", F.col("errors") == "")
 
 
+# What queries, calculations, refusals and faults score.
+#: Lengths of a query that score in full and by half.
+FULL_LENGTHS, HALF_LENGTHS = (8, 30), ((5, 7), (31, 50))
+#: Score of a query by the number of metrics that it names (the last for more), and the weights of metrics, year, entity and length, for searches and for those of industries.
+METRIC_STEPS, QUERY_WEIGHTS, INDUSTRY_WEIGHTS, CALCULATE_SCORE = (0.0, 0.57, 0.85, 1.0), (0.35, 0.25, 0.20, 0.20), (0.25, 0.20, 0.35, 0.20), 0.5
+#: Penalties of a repeated query and of an unknown tool, the least of their sum, and the similarity from which a query is repeated.
+REPEATED, UNKNOWN, LEAST_PENALTY, ALIKE = -0.3, -0.5, -1.0, 0.85
+#: A calculation that was needed and worked: at the least, and more if it is well formed and if its result is used; one that wasn't needed, used and not; neither needed nor made.
+CALCULATED, WELL_FORMED, USED, UNNEEDED_USED, UNNEEDED, NEITHER = 0.5, 0.25, 0.25, 0.5, 0.45, 0.5
+#: A refusal that was due, by the number of calls before it (the last for more).
+DECLINED_STEPS = (1.0, 1.0, 0.75, 0.5, 0.25)
+
+
 def length_score(c: Column) -> Column:
     """1 for 8 to 30 characters, a half for 5 to 7 and 31 to 50, else 0."""
     n = F.length(c)
-    return F.when(n.between(8, 30), 1.0).when(n.between(5, 7) | n.between(31, 50), 0.5).otherwise(0.0)
+    half = n.between(*HALF_LENGTHS[0]) | n.between(*HALF_LENGTHS[1])
+    return F.when(n.between(*FULL_LENGTHS), 1.0).when(half, 0.5).otherwise(0.0)
+
+
+def _step(n: Column, steps: Sequence[float]) -> Column:
+    """The score at a number, the last one beyond."""
+    return F.element_at(F.array(*map(F.lit, steps)), F.least(n, F.lit(len(steps) - 1)) + 1)
 
 
 def query_score(query: Column, tool: Column, metrics: Sequence[str], names: Sequence[str] = ()) -> Column:
     """Weighted score of a search query: metrics named (nested names count twice), a year, an entity, its length; calculations get a half."""
-    named = F.size(F.filter(F.array(*map(F.lit, metrics)), lambda m: F.contains(query, m)))
-    metric = F.when(named >= 3, 1.0).when(named == 2, 0.85).when(named == 1, 0.57).otherwise(0.0)
+    named = F.coalesce(F.size(F.filter(F.array(*map(F.lit, metrics)), lambda m: F.contains(query, m))), F.lit(0))
     year = F.when(query.rlike(r"202\d"), 1.0).otherwise(0.0)
     entity = F.when(F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(query, n)), 1.0).otherwise(0.0) if names else F.when(query.rlike("[一-鿿]{2,}"), 0.5).otherwise(0.0)
-    industry = tool == "search_industry"
-    score = F.when(industry, 0.25 * metric + 0.20 * year + 0.35 * entity + 0.20 * length_score(query)).otherwise(0.35 * metric + 0.25 * year + 0.20 * entity + 0.20 * length_score(query))
-    return F.when(tool == "calculate", 0.5).otherwise(score)
+    parts = (_step(named, METRIC_STEPS), year, entity, length_score(query))
+
+    def weighed(weights: Sequence[float]) -> Column:
+        return sum((w * p for w, p in zip(weights, parts)), F.lit(0.0))
+
+    return F.when(tool == "calculate", CALCULATE_SCORE).when(tool == "search_industry", weighed(INDUSTRY_WEIGHTS)).otherwise(weighed(QUERY_WEIGHTS))
 
 
-def call_penalty(steps: Column, tools: Sequence[str], repeated: float = 0.85) -> Column:
+def call_penalty(steps: Column, tools: Sequence[str], repeated: float = ALIKE) -> Column:
     """-0.3 for each query much like an earlier one, -0.5 for each unknown tool, -1 at least. ``steps`` is an array of struct(tool, query)."""
     again = F.size(F.filter(F.transform(steps, lambda s, i: F.exists(F.slice(steps, F.lit(1), i), lambda p: bigram_overlap(s["query"], p["query"]) > repeated)), lambda x: x))
     unknown = F.size(F.filter(steps, lambda s: ~F.coalesce(s["tool"].isin(*tools), F.lit(False))))
-    return F.greatest(again * -0.3 + unknown * -0.5 + 0.0, F.lit(-1.0))
+    return F.greatest(again * REPEATED + unknown * UNKNOWN + 0.0, F.lit(LEAST_PENALTY))
 
 
 def overlong_penalty(text: Column, free: int = 8192, clip: int = 12288, most: float = 0.5) -> Column:
@@ -216,8 +237,8 @@ def calculation_score(needed: Column, answer: Column, expressions: Column, resul
     used = F.size(expressions) > 0
     formed = F.exists(expressions, lambda e: F.coalesce(e.rlike(r"\d+\.?\d*\s*[-+*/×÷]\s*\d+"), F.lit(False)))
     again = F.coalesce(reuses_result(answer, worked), F.lit(False))
-    quality = 0.5 + F.when(formed, 0.25).otherwise(0.0) + F.when(again, 0.25).otherwise(0.0)
-    return F.when(needed & used, F.when(F.size(worked) > 0, quality).otherwise(0.0)).when(needed, 0.0).when(used, F.when(F.size(worked) == 0, 0.0).when(again, 0.5).otherwise(0.45)).otherwise(0.5)
+    quality = CALCULATED + F.when(formed, WELL_FORMED).otherwise(0.0) + F.when(again, USED).otherwise(0.0)
+    return F.when(needed & used, F.when(F.size(worked) > 0, quality).otherwise(0.0)).when(needed, 0.0).when(used, F.when(F.size(worked) == 0, 0.0).when(again, UNNEEDED_USED).otherwise(UNNEEDED)).otherwise(NEITHER)
 
 
 def combined_reward(parts: Sequence[tuple[float, Column]], penalty: Column, overlong: Column, gate: Column, declined: Column) -> Column:
@@ -227,7 +248,7 @@ def combined_reward(parts: Sequence[tuple[float, Column]], penalty: Column, over
 
 def declining_score(answer: Column, n_steps: Column) -> Column:
     """For questions to decline: 1 for a refusal with at most one call, a quarter less for each further, at least a quarter; 0 without a refusal."""
-    return F.when(any_word(answer, DECLINING), F.when(n_steps <= 1, 1.0).when(n_steps == 2, 0.75).when(n_steps == 3, 0.5).otherwise(0.25)).otherwise(0.0)
+    return F.when(any_word(answer, DECLINING), _step(n_steps, DECLINED_STEPS)).otherwise(0.0)
 
 
 def passes_gate(issues: DataFrame, key: str, least: float = 4.0, full: float = 5.0) -> DataFrame:

@@ -75,13 +75,7 @@ def document_fusion(spark: SparkSession, root: str) -> DataFrame:
 
 
 def packed_results(spark: SparkSession, root: str) -> DataFrame:
-    """Fused results that fit a budget of characters."""
-    fused = R.document_fusion(_document_hits(spark, root))
-    return R.within_budget(fused, "query_id", "document", "position", "text", 3, 1200, 10).select("query_id", "slot", "chunk_id", "used")
-
-
-def packed_results_whole(spark: SparkSession, root: str) -> DataFrame:
-    """Fused results that fit the reference's budget of characters."""
+    """Fused results that fit the budget of 12,000 characters, at most 20."""
     fused = R.document_fusion(_document_hits(spark, root))
     return R.within_budget(fused, "query_id", "document", "position", "text").select("query_id", "slot", "chunk_id", "used")
 
@@ -179,7 +173,7 @@ def event_rollup(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (cosine_top, bm25_top, cosine_top_all, bm25_top_all, rank_fusion, weighted_score_fusion, document_fusion, packed_results, packed_results_whole, expanded_results, year_boosted, interleaved, tool_steps, tool_usage, question_types, rendered_chats, parsed_calls, validated_samples, step_scores, sample_scores, event_properties, event_rollup)
+    for f in (cosine_top, bm25_top, cosine_top_all, bm25_top_all, rank_fusion, weighted_score_fusion, document_fusion, packed_results, expanded_results, year_boosted, interleaved, tool_steps, tool_usage, question_types, rendered_chats, parsed_calls, validated_samples, step_scores, sample_scores, event_properties, event_rollup)
 }
 
 _S = """
@@ -231,8 +225,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DE
     "weighted_score_fusion": _S
     + ", m AS (SELECT *, min(good) OVER p AS lo, max(good) OVER p AS hi FROM s WINDOW p AS (PARTITION BY query_id, retriever)) SELECT query_id, chunk_id, round(sum(CASE retriever WHEN 'dense' THEN 0.4::DOUBLE WHEN 'sparse' THEN 0.6::DOUBLE ELSE 0 END * CASE WHEN hi > lo THEN (good - lo) / (hi - lo) ELSE 0 END), 9) AS score FROM m GROUP BY 1, 2",
     "document_fusion": _D + "SELECT query_id, position, chunk_id, document, list, score FROM z",
-    "packed_results": _D + ", y AS (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY position) AS nd FROM z), x AS (SELECT *, row_number() OVER o AS slot, sum(length(text)) OVER (PARTITION BY query_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS used FROM y WHERE nd <= 3 WINDOW o AS (PARTITION BY query_id ORDER BY position)) SELECT query_id, slot, chunk_id, used FROM x WHERE (slot = 1 OR used <= 1200) AND slot <= 10",
-    "packed_results_whole": _D + ", y AS (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY position) AS nd FROM z), x AS (SELECT *, row_number() OVER o AS slot, sum(length(text)) OVER (PARTITION BY query_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS used FROM y WHERE nd <= 3 WINDOW o AS (PARTITION BY query_id ORDER BY position)) SELECT query_id, slot, chunk_id, used FROM x WHERE (slot = 1 OR used <= 12000) AND slot <= 20",
+    "packed_results": _D + ", y AS (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY position) AS nd FROM z), x AS (SELECT *, row_number() OVER o AS slot, sum(length(text)) OVER (PARTITION BY query_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS used FROM y WHERE nd <= 3 WINDOW o AS (PARTITION BY query_id ORDER BY position)) SELECT query_id, slot, chunk_id, used FROM x WHERE (slot = 1 OR used <= 12000) AND slot <= 20",
     "expanded_results": _D + "SELECT query_id, document AS parent_id, max(score) AS score, min(position) AS first_position, any_value(p.report_title) AS parent_text FROM z LEFT JOIN pdf_map p ON document = p.pdf_file GROUP BY 1, 2",
     "year_boosted": "WITH " + _C + ", h AS (SELECT DISTINCT query_id, query_text, chunk_id FROM search_hits WHERE query_id IS NOT NULL) SELECT query_id, chunk_id, CASE WHEN list_contains(regexp_extract_all(query_text, '20\\d\\d'), year(day)::VARCHAR) THEN 0.01 ELSE 0 END AS boost, round(coalesce(0.4 * exp(-0.693 * greatest(date_diff('day', day, DATE '2026-06-30'), 0) / 365.0), 0), 6) AS bonus FROM h JOIN c USING (chunk_id)",
     "interleaved": _S + ", " + _C + ", m AS (SELECT query_id, chunk_id, retriever, rank, text[1:100] AS head, (retriever = 'bm25')::INT AS l FROM k JOIN c USING (chunk_id) WHERE retriever IN ('dense', 'bm25')), o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, head ORDER BY rank, l) = 1) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, l) AS position, chunk_id, retriever FROM o QUALIFY position <= 10",
@@ -269,4 +262,12 @@ e AS (SELECT sample_id, concat_ws(',', CASE WHEN coalesce(question, '') = '' THE
   CASE WHEN len(list_filter(st, lambda s: coalesce(s.tool, '') NOT IN ('search_financial', 'search_industry', 'search_report', 'calculate'))) > 0 THEN 'tool' END, CASE WHEN len(list_filter(st, lambda s: s.obs = '')) > 0 THEN 'observation' END,
   CASE WHEN coalesce(question_type, '') <> 'reject' AND len(own) > 0 AND len(list_intersect(own, seen))::DOUBLE / len(own) < 0.5 THEN 'grounding' END, CASE WHEN unsourced THEN 'operands' END, CASE WHEN none THEN 'no_operand' END) AS errors FROM v LEFT JOIN u USING (sample_id))
 SELECT sample_id, errors, errors = '' AS is_valid FROM e""",
+    "step_scores": _K
+    + r""", v AS (SELECT *, (contains(query, '毛利率')::INT + contains(query, '净利率')::INT + contains(query, '营业收入')::INT + contains(query, '净利润')::INT + contains(query, '经营现金流')::INT + contains(query, '资产负债率')::INT + contains(query, '周转')::INT) AS n, regexp_matches(query, '202\d')::INT AS y, CASE WHEN regexp_matches(query, '[一-鿿]{2,}') THEN 0.5::DOUBLE ELSE 0 END AS e,
+  CASE WHEN length(query) BETWEEN 8 AND 30 THEN 1::DOUBLE WHEN length(query) BETWEEN 5 AND 7 OR length(query) BETWEEN 31 AND 50 THEN 0.5 ELSE 0 END AS l, list_distinct(list_transform(range(1, greatest(length(query), 1)), lambda i: query[i:i + 1])) AS bg FROM k),
+sc AS (SELECT *, CASE WHEN tool = 'search_industry' THEN 0.25::DOUBLE * m + 0.20::DOUBLE * y + 0.35::DOUBLE * e + 0.20::DOUBLE * l ELSE 0.35::DOUBLE * m + 0.25::DOUBLE * y + 0.20::DOUBLE * e + 0.20::DOUBLE * l END AS score FROM (SELECT *, CASE WHEN n >= 3 THEN 1.0::DOUBLE WHEN n = 2 THEN 0.85 WHEN n = 1 THEN 0.57 ELSE 0 END AS m FROM v)),
+p AS (SELECT a.sample_id, a.step_no, b.step_no AS prior, CASE WHEN len(a.bg) > 0 AND len(b.bg) > 0 THEN len(list_intersect(a.bg, b.bg))::DOUBLE / least(len(a.bg), len(b.bg)) ELSE 0 END AS o FROM v a JOIN v b ON a.sample_id = b.sample_id AND b.step_no < a.step_no),
+r AS (SELECT sample_id, step_no, max(o) > 0.85 AS again FROM p GROUP BY 1, 2), z AS (SELECT sample_id, max(step_no) AS n FROM k GROUP BY 1)
+SELECT sc.sample_id, coalesce(round(avg(score) FILTER (tool <> 'calculate'), 6), 0) AS query_score, greatest(sum(CASE WHEN again THEN 1 ELSE 0 END) * -0.3::DOUBLE + sum(CASE WHEN coalesce(tool, '') NOT IN ('search_financial', 'search_industry', 'search_report', 'calculate') THEN 1 ELSE 0 END) * -0.5::DOUBLE, -1.0) AS penalty, any_value(round(lo.o, 6)) AS last_overlap
+FROM sc LEFT JOIN r USING (sample_id, step_no) JOIN z ON z.sample_id = sc.sample_id LEFT JOIN p lo ON lo.sample_id = sc.sample_id AND lo.step_no = z.n AND lo.prior = z.n - 1 GROUP BY 1""",
 }

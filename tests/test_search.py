@@ -47,11 +47,11 @@ def test_bm25_of_table(spark, monkeypatch):
 
 
 def test_index_rows_keep_their_text(spark, tmp_path):
-    from quarryline.plans.reports import index_rows_whole
+    from quarryline.plans.reports import index_rows
 
     texts = ["x" * 300 + "a", "x" * 300 + "b"]
     columns = "chunk_id text source_type chunk_method stock_code stock_name institution report_date industry rating report_title pdf_file current_section".split()
     rows = [tuple({"chunk_id": "c", "text": t, "current_section": "s" * 300}.get(c) for c in columns) + (None, 3) for t in [*texts, texts[0]]]
     spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns) + ", page_idx int, chunk_index int").write.parquet(str(tmp_path / "all_chunks.parquet"))
-    got = sorted((r.text, len(r.current_section), r.rating, r.page_idx, r.chunk_index) for r in index_rows_whole(spark, str(tmp_path)).collect())
+    got = sorted((r.text, len(r.current_section), r.rating, r.page_idx, r.chunk_index) for r in index_rows(spark, str(tmp_path)).collect())
     assert got == [(t, 256, "", -1, 3) for t in texts]
