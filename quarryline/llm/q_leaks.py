@@ -29,11 +29,20 @@ def p8_leaked_items(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_overlaps": p8_overlaps, "p8_leaked_items": p8_leaked_items}
-SQL = {
-    "p8_found": r"""
+_TEXTS = r"""
 WITH i AS (SELECT item_id, lower(regexp_replace(translate(text, 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'), '[^\p{L}\p{N}]', '', 'g')) AS t FROM eval_items),
-d AS (SELECT doc_id, lower(regexp_replace(translate(text, 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'), '[^\p{L}\p{N}]', '', 'g')) AS t FROM documents),
-ig AS (SELECT DISTINCT item_id, substr(t, p, 40) AS g FROM i, unnest(range(1, length(t) - 38)) u(p)),
-dg AS (SELECT DISTINCT doc_id, substr(t, p, 40) AS g FROM d, unnest(range(1, length(t) - 38)) u(p))
-SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+d AS (SELECT doc_id, lower(regexp_replace(translate(text, 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'), '[^\p{L}\p{N}]', '', 'g')) AS t FROM documents)
+"""
+#: Runs of 40 characters of both sides that are equal; neighbours on one diagonal make a longer run.
+_RUNS = (
+    _TEXTS
+    + """, ig AS (SELECT item_id, p AS q, substr(t, p, 40) AS g FROM i, unnest(range(1, length(t) - 38)) u(p)), dg AS (SELECT doc_id, p, substr(t, p, 40) AS g FROM d, unnest(range(1, length(t) - 38)) u(p)),
+m AS (SELECT DISTINCT doc_id, item_id, p, q FROM dg JOIN ig USING (g)), isl AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS k FROM m),
+r AS (SELECT doc_id, item_id, count(*) + 39 AS n, min(q) - 1 AS s FROM isl GROUP BY doc_id, item_id, p - q, k), o AS (SELECT doc_id, item_id, n::INT AS overlap_chars, s::INT AS item_start FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, s) = 1)
+"""
+)
+SQL = {
+    "p8_found": _TEXTS + ", ig AS (SELECT DISTINCT item_id, substr(t, p, 40) AS g FROM i, unnest(range(1, length(t) - 38)) u(p)), dg AS (SELECT DISTINCT doc_id, substr(t, p, 40) AS g FROM d, unnest(range(1, length(t) - 38)) u(p)) SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+    "p8_overlaps": _RUNS + "SELECT * FROM o",
+    "p8_leaked_items": _RUNS + "SELECT item_id, count(*) AS n_documents, max(overlap_chars) AS longest FROM o GROUP BY 1",
 }
