@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.functions.checkpoints import cut_lineage
 from quarryline.functions.text import cut_at, iso_date, strip_u
 from quarryline.operators import relational
 from quarryline.operators import retrieval as R
@@ -88,7 +89,8 @@ def sparse_vectors(spark: SparkSession, root: str) -> DataFrame:
 
 def sparse_top_all(spark: SparkSession, root: str) -> DataFrame:
     """Nearest documents by inner product of sparse vectors, of every document whose id is divisible by 100."""
-    documents = P.sparse_texts(read_table(spark, root, "documents"), "doc_id", "text")
+    # counted once: the vectors are read for the number of queries, for the queries and for the search
+    documents = cut_lineage(P.sparse_texts(read_table(spark, root, "documents"), "doc_id", "text"))
     queries = documents.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.explode("v").alias("x")).select("query", F.col("x.key").alias("word"), F.col("x.value").alias("weight"))
     return R.sparse_top_k_of(documents, queries, "query", "doc_id", "v", 10)
 
